@@ -24,6 +24,8 @@ from .common import Scratch
 WEIGHTS = (5, 2, 1)
 #: Documents in a block of the reduction tree.
 BLOCK = 64
+#: Sources are broadcast up to this many (a few MB), and joined by shuffle beyond.
+BROADCAST_SOURCES = 50_000
 
 
 def size_of(text: Column) -> Column:
@@ -105,13 +107,14 @@ def round_units(units: DataFrame, scratch: Scratch, seed: int = 7, block: int =
     done, level, kept_back, level_no = [], units, None, 0
     while True:
         counted = level.groupBy("group").agg(F.count("*").alias("n"))
-        most = counted.agg(F.max("n")).first()[0] or 0
+        most, groups = counted.agg(F.max("n"), F.count("*")).first()
+        most = most or 0
         root = most <= 2 * block
         if root:
             blocks = (level if kept_back is None else level.union(kept_back)).withColumn("b", F.lit(0).cast("long"))
         else:
             # hash order is random order: a hot group becomes many blocks of about `block` units, which don't depend on each other
-            blocks = level.join(counted, "group").withColumn("b", F.pmod(F.xxhash64("unit", F.lit(seed + level_no)), F.greatest(F.lit(1), F.ceil(F.col("n") / block))))
+            blocks = level.join(F.broadcast(counted) if groups <= BROADCAST_SOURCES else counted, "group").withColumn("b", F.pmod(F.xxhash64("unit", F.lit(seed + level_no)), F.greatest(F.lit(1), F.ceil(F.col("n") / block))))
             if kept_back is None:  # one block of each group waits for the root, where it takes up what the residuals are off by
                 kept_back = scratch.write(blocks.where("b = 0").select("group", "unit", "p", "size"))
                 blocks = blocks.where("b > 0")
@@ -139,7 +142,7 @@ def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = 1.5, mos
     units = scratch.write(units.withColumn("unit", F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), "text_hash", "size")))
     want = targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), weights, share, most)
     want = scratch.write(want.coalesce(1))
-    rates = units.join(F.broadcast(want) if want.count() <= 100_000 else want, units["source"].eqNullSafe(want["source"])).drop(want["source"])
+    rates = units.join(F.broadcast(want) if want.count() <= BROADCAST_SOURCES else want, units["source"].eqNullSafe(want["source"])).drop(want["source"])
     rates = rates.withColumn("r", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("whole", F.floor(F.col("r") + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), F.col("r") - F.col("whole")))
     open_ = rates.where((F.col("p") > 1e-9) & (F.col("size") > 0)).select(F.xxhash64("source", F.col("source").isNull()).alias("group"), "unit", "p", (F.col("size") * F.col("rows")).alias("size"))
     extra = round_units(open_, scratch, seed)

@@ -66,9 +66,10 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
     rules = rules.select(F.array_sort("antecedent").alias("items"), F.size("antecedent").alias("size"), "confidence", "support")
-    one = rules.where("size = 1").agg(F.flatten(F.collect_set("items")).alias("single"))
-    rules = rules.join(F.broadcast(one)).where((F.col("size") == 1) | ~F.arrays_overlap("items", F.coalesce("single", F.array().cast("array<string>")))).drop("single")
-    return rules.select(F.xxhash64(F.array_join("items", "\n")).alias("rule_id"), "items", "size", "confidence", "support")
+    rules = rules.select(F.xxhash64(F.array_join("items", "\n")).alias("rule_id"), "items", "size", "confidence", "support")
+    single = rules.where("size = 1").select(F.element_at("items", 1).alias("item"))
+    redundant = rules.where("size > 1").select("rule_id", F.explode("items").alias("item")).join(single, "item", "left_semi").select("rule_id").distinct()
+    return rules.join(redundant, "rule_id", "left_anti")
 
 
 def match(pages: DataFrame, rules: DataFrame, key: str) -> DataFrame:

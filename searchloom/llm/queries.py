@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_filter
-from .common import table
+from . import chat, decontaminate, mixing, simhash_dedup, url_filter
+from .common import Scratch, table
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +22,20 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    scratch = Scratch(spark)
+    messages = scratch.write(chat.as_tree(rows.union(extra)))
+    return chat.read_back(scratch.write(chat.format_conversations(messages, scratch)))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     return url_filter.judge(pages.select("page_id", "url"), labels.select("doc_id", "quality", "toxic")).select("page_id", "host", "path", "rule", "verdict")

@@ -19,7 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,17 +110,19 @@ def format_conversations(messages: DataFrame, scratch: Scratch | None = None) ->
 def read_back(formatted: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss) -> digests of what a reader of the formatted texts sees."""
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for conv_id, text, spans in zip(pdf["conv_id"], pdf["formatted"], pdf["loss"], strict=True):
+            for text, spans in zip(b.column(1), b.column(2), strict=True):
+                text = text.as_py()
                 turns = parse(text)
                 whole = hashlib.sha256()
                 for role, said in turns:
                     whole.update(f"{role}\n{said}\n".encode())
-                loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
-                out.append((conv_id, len(turns), whole.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans.as_py())
+                out.append((len(turns), whole.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     kind = dict(formatted.dtypes)["conv_id"]
-    return formatted.select("conv_id", "formatted", "loss").mapInPandas(digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "loss").mapInArrow(digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

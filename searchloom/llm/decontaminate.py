@@ -19,72 +19,70 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, lower_ascii
 
-#: A word before and after A-Z is lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates words: every ASCII character that is no letter or digit. Listed one by one, which Java's matcher looks up in a table.
+BREAK = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 WINDOW = 10
-#: The benchmark's terms, and candidate diagonals, are broadcast up to this many rows and joined by shuffle beyond.
-BROADCAST_TERMS, BROADCAST_DIAGONALS = 200_000, 200_000
+#: The benchmark's words, and candidate diagonals, are broadcast up to this many rows (a few MB) and joined by shuffle beyond.
+BROADCAST_WORDS, BROADCAST_DIAGONALS = 100_000, 100_000
+#: The term that ends every document in the index; its position is the document's number of words.
+END = 0
 
 
 def words(text: Column) -> Column:
     """The words in order, A-Z not yet lower-cased."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
+    return F.filter(F.split(F.coalesce(text, F.lit("")), BREAK), lambda w: w != "")
 
 
 @dataclass
 class Index:
-    postings: DataFrame  # term, doc, pos
+    postings: DataFrame  # term, doc, pos; doc_id where term is END
     frequency: DataFrame  # term, df: occurrences in the training texts
-    items: DataFrame  # item, ipos, term, n (words of the item), word
-    broadcast_terms: bool
+    items: DataFrame  # item, n (its words), ipos, term
+    small: bool  # the items may be broadcast
 
 
 def build(docs: DataFrame, items: DataFrame, scratch: Scratch) -> Index:
-    """docs(doc, text), items(item, text) -> the index over all tokens of docs that occur in items."""
+    """docs(doc_id, doc, text), items(item, text) -> the index over all tokens of docs that occur in items, and docs' ends."""
     split = items.select("item", words(F.col("text")).alias("w"))
     split = split.select("item", F.size("w").alias("n"), F.posexplode("w").alias("ipos", "raw")).select("item", "n", "ipos", lower_ascii(F.col("raw")).alias("word"))
-    terms = split.select("word").distinct().withColumn("term", F.xxhash64("word"))
-    small = terms.count() <= BROADCAST_TERMS
     split = scratch.write(split.withColumn("term", F.xxhash64("word")))
-    lookup = F.broadcast(terms) if small else terms
-    tokens = docs.select("doc", F.posexplode(words(F.col("text"))).alias("pos", "raw")).select("doc", "pos", lower_ascii(F.col("raw")).alias("word"))
-    postings = scratch.write(tokens.join(lookup, "word").select("term", "doc", "pos"))
-    frequency = scratch.write(postings.groupBy("term").agg(F.count("*").alias("df")).coalesce(1))
+    small = split.count() <= BROADCAST_WORDS
+    terms = split.select("word", "term").distinct().union(docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(END).cast("long").alias("term")))
+    # one scan: a document's words and, last, an empty one for its end
+    tokens = docs.select("doc_id", "doc", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit("")))).alias("pos", "raw")).select("doc_id", "doc", "pos", lower_ascii(F.col("raw")).alias("word"))
+    postings = tokens.join(F.broadcast(terms) if small else terms, "word")
+    postings = scratch.write(postings.select("term", "doc", "pos", F.when(F.col("term") == END, F.col("doc_id")).alias("doc_id")))
+    frequency = scratch.write(postings.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("df")))
     return Index(postings, frequency, split, small)
 
 
-def _windows(index: Index, window: int) -> DataFrame:
-    """A row for each term of each window: item, start, ipos, term, rank (0 the rarest of the window), n."""
+def _anchors(index: Index, window: int) -> DataFrame:
+    """item, ipos, term, part, first, second: the windows, as bits of start % 32 for part = start / 32, of which the term is the rarest or second rarest.
+
+    A window of one word has it as both.
+    """
     known = index.items.join(index.frequency, "term", "left").select("item", "n", "ipos", "term", F.coalesce("df", F.lit(0)).alias("df"))
     span = F.least(F.lit(window), F.col("n"))
     starts = F.sequence(F.greatest(F.lit(0), F.col("ipos") - span + 1), F.least(F.col("ipos"), F.col("n") - span))
     each = known.withColumn("start", F.explode(starts))
-    return each.withColumn("rank", F.row_number().over(Window.partitionBy("item", "start").orderBy("df", "ipos")) - 1)
+    each = each.withColumn("rank", F.row_number().over(Window.partitionBy("item", "start").orderBy("df", "ipos"))).where("rank <= 2")
+    bit = F.expr("shiftleft(1L, start % 32)")
+    each = each.select("item", "ipos", "term", F.floor(F.col("start") / 32).alias("part"), F.when(F.col("rank") == 1, bit).otherwise(0).alias("first"), F.when((F.col("rank") == 2) | (span == 1), bit).otherwise(0).alias("second"))
+    return each.groupBy("item", "ipos", "term", "part").agg(F.bit_or("first").alias("first"), F.bit_or("second").alias("second"))
 
 
 def occurrences(index: Index, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """(doc, item, first, last): maximal runs of document positions that are occurrences of the item's windows."""
-    ranked = scratch.write(_windows(index, window))
-    lists = [ranked.where(F.col("rank") == r).select("item", "term", "ipos", "start") for r in (0, 1)]
-
-    def diagonals(anchors: DataFrame) -> DataFrame:
-        """Offset-adjusted list of the anchors' postings."""
-        small = F.broadcast(anchors) if index.broadcast_terms else anchors
-        return index.postings.join(small, "term").select("doc", "item", (F.col("pos") - F.col("ipos")).alias("diag"), "start")
-
-    # a window of one word has one list; else its second rarest must be on the same diagonal. A window is named by its start
-    first, second = diagonals(lists[0].join(ranked.groupBy("item").agg(F.max("rank").alias("m")), "item").where("m > 0").drop("m")), diagonals(lists[1])
-    single = diagonals(lists[0].join(ranked.groupBy("item").agg(F.max("rank").alias("m")), "item").where("m = 0").drop("m"))
-    # each list's anchors are named once for all windows that share them before the diagonals meet
-    both = first.select("doc", "item", "diag").distinct().join(second.select("doc", "item", "diag").distinct(), ["doc", "item", "diag"])
-    found = scratch.write(both.union(single.select("doc", "item", "diag").distinct()))
-    terms = index.items.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("ipos", "term"))), lambda x: x["term"]).alias("terms"))
-    cand = found.join(F.broadcast(terms) if index.broadcast_terms else terms, "item")
-    per_doc = cand.select("doc", "item", "diag", "terms")
-    few = found.count() <= BROADCAST_DIAGONALS
-    hits = index.postings.join(F.broadcast(per_doc) if few else per_doc, "doc")
-    at = F.col("pos") - F.col("diag")
-    hits = hits.where((at >= 0) & (at < F.size("terms"))).where(F.get(F.col("terms"), at) == F.col("term")).select("doc", "item", "diag", at.alias("ipos"), F.size("terms").alias("n")).distinct()
+    small = lambda df, yes: F.broadcast(df) if yes else df
+    anchors = scratch.write(_anchors(index, window))
+    # offset-adjusted lists of the two rarest terms of every window, intersected window by window on each diagonal
+    lists = index.postings.join(small(anchors, index.small), "term").select("doc", "item", (F.col("pos") - F.col("ipos")).alias("diag"), "part", "first", "second")
+    met = lists.groupBy("doc", "item", "diag", "part").agg(F.bit_or("first").alias("a"), F.bit_or("second").alias("b")).where(F.col("a").bitwiseAND(F.col("b")) != 0)
+    found = scratch.write(met.select("doc", "item", "diag").distinct())
+    # the lists of all terms, on the diagonals that are left
+    around = index.postings.select("doc", "term", "pos").join(small(found, found.count() <= BROADCAST_DIAGONALS), "doc")
+    around = around.select("doc", "item", "diag", (F.col("pos") - F.col("diag")).alias("ipos"), "term").where("ipos >= 0")
+    hits = around.join(small(index.items.select("item", "ipos", "term", "n"), index.small), ["item", "ipos", "term"]).select("doc", "item", "diag", "ipos", "n").distinct()
     run = F.col("ipos") - F.row_number().over(Window.partitionBy("doc", "item", "diag").orderBy("ipos"))
     runs = hits.withColumn("run", run).groupBy("doc", "item", "diag", "run").agg(F.min("ipos").alias("a"), F.max("ipos").alias("b"), F.min("n").alias("n"))
     return runs.where(F.col("b") - F.col("a") + 1 >= F.least(F.lit(window), F.col("n"))).select("doc", "item", (F.col("diag") + F.col("a")).alias("first"), (F.col("diag") + F.col("b")).alias("last"))
@@ -112,18 +110,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     """docs(doc_id, text), benchmark(item_id, text) -> (doc_id, n_words, n_hit, items array<string> sorted), a row for each row of docs."""
     scratch = Scratch(docs.sparkSession)
     keyed = docs.select("doc_id", "text").withColumn("doc", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
-    index = build(keyed.select("doc", "text"), benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), "text"), scratch)
-    return score(keyed.select("doc_id", "doc", F.size(words(F.col("text"))).cast("long").alias("n_words")), index, scratch, window)
+    index = build(keyed, benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), "text"), scratch)
+    return score(index, scratch, window)
 
 
-def score(keyed: DataFrame, index: Index, scratch: Scratch, window: int = WINDOW) -> DataFrame:
+def score(index: Index, scratch: Scratch, window: int = WINDOW) -> DataFrame:
+    """(doc_id, doc, n_words, n_hit, items) of every indexed row."""
     found = scratch.write(occurrences(index, scratch, window).distinct())
     before = Window.partitionBy("doc").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select("doc", "first", "last").distinct().withColumn("seen", F.coalesce(F.max("last").over(before), F.lit(-1)))
     hit = spans.groupBy("doc").agg(F.sum(F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first") - 1, F.col("seen")))).alias("n_hit"))
     named = found.select("doc", "item").distinct().groupBy("doc").agg(F.array_sort(F.collect_list("item")).alias("items"))
     marked = scratch.write(hit.join(named, "doc"))
-    return keyed.join(marked, "doc", "left").select("doc_id", "doc", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    ends = index.postings.where(F.col("term") == END).select("doc_id", "doc", F.col("pos").cast("long").alias("n_words"))
+    return ends.join(marked, "doc", "left").select("doc_id", "doc", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -52,7 +52,7 @@ def test_awkward_rows(spark):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha q beta"), (2, "beta q q q alpha"), (3, "alpha " + "q " * 9 + "beta"), (4, "alpha")], "doc long, text string")
+    docs = spark.createDataFrame([(1, "alpha q beta"), (2, "beta q q q alpha"), (3, "alpha " + "q " * 9 + "beta"), (4, "alpha")], "doc long, text string").withColumn("doc_id", F.col("doc"))
     items = spark.createDataFrame([("i", "alpha beta")], "item string, text string")
     index = dc.build(docs, items, Scratch(spark))
     assert sorted((r.doc, r["first"], r["last"]) for r in dc.near(index, 3).collect()) == [(1, 0, 2), (2, 0, 4)]

@@ -78,10 +78,10 @@ def best_paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
     rounds = [links]
     while not links.where("up is not null").isEmpty():
         far = links.select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
-        links = scratch.write(
-            links.join(far, ["conv", "up"], "left").select(
+        links = scratch.write(  # only messages whose path isn't at its root yet go on
+            links.where("up is null").union(links.where("up is not null").join(far, ["conv", "up"], "left").select(
                 "conv", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score")
-            )
+            ))
         )
         rounds.append(links)
     parents = messages.where("parent is not null").select("conv", F.col("parent").alias("node")).distinct()
@@ -89,7 +89,7 @@ def best_paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
     best = leaves.groupBy("conv").agg(F.max(F.struct("score", "depth", (-F.col("node")).alias("node"))).alias("b")).select("conv", (-F.col("b.node")).alias("node"))
     marked = scratch.write(best)
     for r in reversed(rounds[:-1]):
-        up = marked.join(r, ["conv", "node"]).where("up is not null").select("conv", F.col("up").alias("node"))
+        up = marked.join(r.where("up is not null"), ["conv", "node"]).select("conv", F.col("up").alias("node"))
         marked = scratch.write(marked.union(up))
     return marked.join(links.select("conv", "node", "depth"), ["conv", "node"])
 

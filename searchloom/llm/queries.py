@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding_dedup, mixing, simhash_dedup, token_output, toxicity, url_filter
+from . import chat, decontaminate, embedding_dedup, line_dedup, mixing, simhash_dedup, token_output, toxicity, url_filter
 from .common import Scratch, table
 
 
@@ -26,6 +26,11 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_blank", "n_kept", "n_removed", F.sha2(F.array_join(F.transform("kept", lambda x: x.cast("string")), ","), 256).alias("kept_sha256"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(toxicity.training(docs, table(spark, sf_dir, "labels")))

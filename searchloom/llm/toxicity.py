@@ -1,12 +1,12 @@
 """Operator 5, toxicity: Levenshtein automata intersected with a lexicon trie, and context-window scores.
 
 Learned from labelled training rows only. Lexicon: words that toxic texts use in many contexts and other texts hardly use
-(counted over all training rows), and likewise stems, written ``stem*``, with which many such words begin. Its trie is intersected with Levenshtein automata of distance 1: states are sets of
+(counted over the training rows), and likewise stems, written ``stem*``, with which many such words begin. Its trie is intersected with Levenshtein automata of distance 1: states are sets of
 (trie node, errors), determinised as they are met, so a word walks one table whatever the lexicon's size and leaves at the
 first letter from which no term is in reach. Words that non-toxic texts use are no misspellings. Each hit is looked at
 in its window: inside quotation marks or after a reporting verb it counts as quoted, else as abuse; the densest window
 of hits counts too. A logistic regression over these features gives the score; it is fitted on the features
-of FIT_ROWS training rows at most, those with the smallest hashes.
+of FIT_ROWS training rows at most, those with the smallest hashes. About LABELS labelled rows at most are learned from at all.
 
 Defined cases: null and empty texts have no hits and the model's base score; null labels and labels of unknown documents are ignored,
 a document with several labels is toxic if one says so; without training rows of both kinds every score is 0; repeated
@@ -29,6 +29,8 @@ from .common import Scratch
 
 #: Bounds of what is learned: terms, known words near a term, rows of the fit.
 TERMS, KNOWN, FIT_ROWS = 5_000, 50_000, 20_000
+#: Labelled training rows that are learned from, about, and broadcast to the texts; those with the smallest hashes.
+LABELS = 400_000
 #: A term has at least so many contexts in toxic training texts, so many times its share elsewhere, and this length.
 CONTEXTS, LIFT, LENGTH = 5, 20.0, 4
 #: Lengths of stems, and the words of one stem at least.
@@ -173,7 +175,7 @@ def held_out(doc_id):
 def learn(labelled: DataFrame) -> Model:
     """labelled(doc_id, text, toxic 0/1) of training rows -> a model."""
     scratch = Scratch(labelled.sparkSession)
-    rows = labelled.select("text", "toxic", F.xxhash64("doc_id", "text").alias("h"))
+    rows = scratch.write(labelled.select("text", "toxic", F.xxhash64("doc_id", "text").alias("h")))
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return Model()
@@ -237,9 +239,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, .
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of labelled documents that aren't held out."""
+    """(doc_id, text, toxic) of labelled documents that aren't held out, of about LABELS at most."""
     marks = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
+    n = marks.count()
+    if n > LABELS:
+        marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(LABELS / n * (1 << 20)))
+    return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

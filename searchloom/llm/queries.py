@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding_dedup, line_dedup, mixing, simhash_dedup, token_output, toxicity, url_filter
+from . import chat, decontaminate, embedding_dedup, line_dedup, mixing, simhash_dedup, suffix_dedup, token_output, toxicity, url_filter
 from .common import Scratch, table
 
 
@@ -43,6 +43,11 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = simhash_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -15,9 +15,12 @@ any order among themselves; an empty table gives no segments.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ from .common import Scratch
 #: Ids in a segment, at least, unless its shard ends.
 SEGMENT = 2048 * range_coder.BLOCK
 #: Words whose ids a worker keeps.
-CACHE = 300_000
+CACHE = 1_000_000
 #: Segments are few; their starts are broadcast up to this many and joined by shuffle beyond.
 BROADCAST_SEGMENTS = 50_000
 #: Texts of these characters only are split by our own copy of the pre-tokenizer's pattern.
@@ -39,7 +42,7 @@ _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]")
 
 
 class Encoder:
-    """text -> ids, as the tokenizers library encodes it without special tokens added."""
+    """texts -> ids, as the tokenizers library encodes them without special tokens added."""
 
     def __init__(self, path: str, pattern: str):
         import os
@@ -55,29 +58,60 @@ class Encoder:
         self.by_word = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         special = [re.escape(t["content"]) for t in kind.get("added_tokens", ())]
         self.special = re.compile("|".join(special)) if special else None
-        self.split, self.known = regex.compile(pattern).findall, {}
-
-    def __call__(self, text: str | None) -> bytes:
-        """Ids as little-endian 16-bit integers."""
-        if not text:
-            return b""
-        if not self.by_word or _PLAIN.search(text) or (self.special and self.special.search(text)):
-            ids = self.lib.encode(text, add_special_tokens=False).ids
-            if ids and max(ids) >= 1 << 16:
-                raise ValueError("ids of 16 bits only")
-            return np.array(ids, "<u2").tobytes()
-        words = self.split(text)
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > CACHE:
+        plain = _plain_pattern(pattern)
+        self.split, self.known = (re.compile(plain) if plain else regex.compile(pattern)).findall, {}
+
+    def _library(self, text: str) -> bytes:
+        ids = self.lib.encode(text, add_special_tokens=False).ids
+        if ids and max(ids) >= 1 << 16:
+            raise ValueError("ids of 16 bits only")
+        return array("H", ids).tobytes()
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as 16-bit integers; words that are new are encoded together."""
+        known, split, out = self.known, [], []
+        for t in texts:
+            plain = t and self.by_word and not _PLAIN.search(t) and not (self.special and self.special.search(t))
+            split.append(self.split(t) if plain else None)
+        new = list({w for words in split if words for w in words if w not in known})
+        if len(known) + len(new) > CACHE:
             known.clear()
-        new = list({w for w in words if w not in known})
-        for w, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u2").tobytes()
-        return b"".join([known[w] for w in words])
+            new = list({w for words in split if words for w in words})
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = array("H", e.ids).tobytes()
+        for t, words in zip(texts, split, strict=True):
+            out.append(b"".join([known[w] for w in words]) if words is not None else self._library(t) if t else b"")
+        return out
+
+
+def _plain_pattern(pattern: str) -> str | None:
+    """The pattern for Python's own matcher, letters and numbers spelled out for the characters of plain texts; None if it has other properties."""
+    chars = [c for c in map(chr, range(0x250))]
+    for name in "LN":
+        own = "".join(c for c in chars if unicodedata.category(c)[0] == name)
+        out, inside, i = [], False, 0
+        while i < len(pattern):
+            if pattern.startswith(rf"\p{{{name}}}", i):
+                out.append(own if inside else f"[{own}]")
+                i += 5
+                continue
+            if pattern[i] == "\\":
+                out.append(pattern[i : i + 2])
+                i += 2
+                continue
+            inside = pattern[i] == "[" or inside and pattern[i] != "]"
+            out.append(pattern[i])
+            i += 1
+        pattern = "".join(out)
+    return None if re.search(r"\\[pP]", pattern) else pattern
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One for each worker process, for all its tasks."""
+    return Encoder(path, pattern)
 
 
 def segments(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
@@ -85,28 +119,29 @@ def segments(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, par
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     schema = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("frames", pa.binary())])
-    end = np.array([end_id], "<u2").tobytes()
+    end = array("H", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, shard, seq = Encoder(tokenizer, pattern), TaskContext.get().partitionId(), 0
+        encode, shard, seq = encoder(tokenizer, pattern), TaskContext.get().partitionId(), 0
         ids, lengths, parts, total = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            frames = range_coder.encode(np.frombuffer(b"".join(parts), "<u2"))
+            frames = range_coder.encode(np.frombuffer(b"".join(parts), np.uint16))
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((shard, seq, total, ids, lengths, frames), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = encode(text.as_py()) + end
-                ids.append(doc_id)
-                lengths.append(len(part) // 2)
-                parts.append(part)
-                total += len(part) // 2
-                if total >= SEGMENT:
-                    yield flush()
-                    seq, ids, lengths, parts, total = seq + 1, [], [], [], 0
+            for at in range(0, len(batch), 500):
+                rows = batch.slice(at, 500)
+                for doc_id, part in zip(rows.column(0).to_pylist(), encode.many(rows.column(1).to_pylist()), strict=True):
+                    ids.append(doc_id)
+                    lengths.append(len(part) // 2 + 1)
+                    parts += (part, end)
+                    total += lengths[-1]
+                    if total >= SEGMENT:
+                        yield flush()
+                        seq, ids, lengths, parts, total = seq + 1, [], [], [], 0
         if ids:
             yield flush()
 

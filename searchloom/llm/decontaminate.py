@@ -24,6 +24,8 @@ BREAK = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
 WINDOW = 10
 #: The benchmark's words, and candidate diagonals, are broadcast up to this many rows (a few MB) and joined by shuffle beyond.
 BROADCAST_WORDS, BROADCAST_DIAGONALS = 100_000, 100_000
+#: Contaminated documents (a long each) are broadcast up to this many and joined by shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 #: The term that ends every document in the index; its position is the document's number of words.
 END = 0
 
@@ -128,6 +130,7 @@ def score(index: Index, scratch: Scratch, window: int = WINDOW) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without those that hold an occurrence of a window."""
-    bad = scan(docs, benchmark, window).where("n_hit > 0").select("doc").distinct()
+    scratch = Scratch(docs.sparkSession)
+    bad = scratch.write(scan(docs, benchmark, window).where("n_hit > 0").select(F.col("doc").alias("_doc")).distinct())
     keyed = docs.withColumn("_doc", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
-    return keyed.join(bad.withColumnRenamed("doc", "_doc"), "_doc", "left_anti").select(*[keyed[c] for c in docs.columns])
+    return keyed.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, "_doc", "left_anti").select(*[keyed[c] for c in docs.columns])

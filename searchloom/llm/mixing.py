@@ -26,6 +26,8 @@ WEIGHTS = (5, 2, 1)
 BLOCK = 64
 #: Sources are broadcast up to this many (a few MB), and joined by shuffle beyond.
 BROADCAST_SOURCES = 50_000
+#: Units that are taken (a long and an int each) are broadcast to the texts up to this many and joined by shuffle beyond.
+BROADCAST_UNITS = 1_000_000
 
 
 def size_of(text: Column) -> Column:
@@ -131,15 +133,19 @@ def round_units(units: DataFrame, scratch: Scratch, seed: int = 7, block: int =
     return out
 
 
+def _unit() -> Column:
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), "text_hash")
+
+
 def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """docs(doc_id, text, source) -> one row per unit: doc_id, source, text_hash, rows, size, source_size, target, copies.
+    """docs(doc_id, text, source) -> one row per unit: unit, doc_id, source, text_hash, rows, size, source_size, target, copies.
 
     A unit is all rows with one doc_id, source and text; size is that of one row, and each of its `rows` rows is taken `copies` times.
     """
     scratch = Scratch(docs.sparkSession)
     units = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     units = units.groupBy("doc_id", "source", "size", "text_hash").agg(F.count("*").alias("rows"))
-    units = scratch.write(units.withColumn("unit", F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), "text_hash", "size")))
+    units = scratch.write(units.withColumn("unit", _unit()))
     want = targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), weights, share, most)
     want = scratch.write(want.coalesce(1))
     rates = units.join(F.broadcast(want) if want.count() <= BROADCAST_SOURCES else want, units["source"].eqNullSafe(want["source"])).drop(want["source"])
@@ -147,12 +153,13 @@ def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = 1.5, mos
     open_ = rates.where((F.col("p") > 1e-9) & (F.col("size") > 0)).select(F.xxhash64("source", F.col("source").isNull()).alias("group"), "unit", "p", (F.col("size") * F.col("rows")).alias("size"))
     extra = round_units(open_, scratch, seed)
     out = rates.join(extra, "unit", "left").withColumn("copies", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("long"))
-    return out.select("doc_id", "source", "text_hash", "rows", "size", "source_size", "target", "copies")
+    return out.select("unit", "doc_id", "source", "text_hash", "rows", "size", "source_size", "target", "copies")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The documents that the mix takes, a row for each copy, all columns of `docs`."""
-    plan = mix(docs, seed).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), F.col("copies").alias("_c")).where("_c > 0")
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    out = keyed.join(plan, (keyed["_th"] == F.col("_h")) & keyed["doc_id"].eqNullSafe(F.col("_d")) & keyed["source"].eqNullSafe(F.col("_s")))
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*[keyed[c] for c in docs.columns])
+    plan = Scratch(docs.sparkSession).write(mix(docs, seed).where("copies > 0").select(F.col("unit").alias("_unit"), F.col("copies").cast("int").alias("_copies")))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("_unit", F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), F.xxhash64("text")))
+    out = keyed.join(F.broadcast(plan) if plan.count() <= BROADCAST_UNITS else plan, "_unit")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)

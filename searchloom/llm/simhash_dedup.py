@@ -29,6 +29,8 @@ from .common import Scratch, components
 SHINGLE, SEED = 3, 42
 #: Longest list whose pairs are tallied.
 LIST_CAP = 64
+#: Rows that go are broadcast (as one long each) up to this many and joined by shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -50,15 +52,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fp), fp the fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, fp, *more), fp the fingerprint's bits as a long."""
+    kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], names=["doc_id", "fp", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return docs.select("doc_id", "text", *more).mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}", "fp long", *[f"`{c}` {kinds[c]}" for c in more]]))
 
 
 def _byte(c: Column, i: int) -> Column:
@@ -91,24 +94,34 @@ def links(fps: DataFrame, scratch: Scratch, list_cap: int = LIST_CAP, bits: int
     return near.union(around)
 
 
-def groups(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fp, component_id): the smallest doc_id reachable over links of fingerprints."""
-    scratch = Scratch(docs.sparkSession)
-    prints = scratch.write(fingerprints(docs))
+def _labels(prints: DataFrame, scratch: Scratch, list_cap: int) -> DataFrame:
+    """prints(doc_id, fp) -> written (fp, root, component_id), a row for each fingerprint."""
     firsts = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(firsts.select("fp"), scratch, list_cap), scratch).withColumnRenamed("node", "fp")
     rooted = scratch.write(firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = scratch.write(rooted.join(least, "root").select("fp", "component_id"))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return scratch.write(rooted.join(least, "root").select("fp", "root", "component_id"))
+
 
+def groups(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, fp, component_id): the smallest doc_id reachable over links of fingerprints."""
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.write(fingerprints(docs))
+    return prints.join(_labels(prints, scratch, list_cap), "fp").select("doc_id", "fp", "component_id")
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """The documents without all but one of each group: the row with the group's smallest doc_id stays.
 
-    Rows that repeat that doc_id are the same document only if they agree in text; of such rows one stays. A group without
-    doc_ids keeps one row of each fingerprint.
-    """
-    grouped = groups(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    out = docs.join(grouped, docs["doc_id"].eqNullSafe(grouped["doc_id"]), "left_semi")
-    return out
+def dedup(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
+    """The documents without all but one of each group: the one of smallest doc_id stays, null last, and of rows
+    with that doc_id the one of smallest hash over all columns; of equal rows one."""
+    scratch = Scratch(docs.sparkSession)
+    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns]))
+    prints = scratch.write(fingerprints(keyed, "_row"))
+    rooted = prints.join(_labels(prints, scratch, list_cap).select("fp", "root"), "fp").select("root", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row").alias("place"))
+    rooted = scratch.write(rooted)
+    stays = rooted.groupBy("root").agg(F.min("place").alias("place")).select("place._row")
+    goes = scratch.write(rooted.select("place._row").join(stays, "_row", "left_anti").distinct())
+    out = keyed.join(F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes, "_row", "left_anti")
+    rows, distinct = prints.agg(F.count("*"), F.countDistinct("_row")).first()
+    if rows != distinct:
+        out = out.dropDuplicates(["_row"])
+    return out.select(*[keyed[c] for c in docs.columns])

@@ -50,7 +50,14 @@ class Scratch:
 
     def write(self, df: DataFrame, **options) -> DataFrame:
         path = f"{self.base}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
-        df.write.options(**options).parquet(path)
+        # a table that is written needs the shuffle files it came from no more
+        conf, name = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(name, None)
+        conf.set(name, "true")
+        try:
+            df.write.options(**options).parquet(path)
+        finally:
+            conf.unset(name) if before is None else conf.set(name, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
@@ -61,13 +68,6 @@ class Scratch:
             if path:
                 self._delete(path)
 
-    def release_shuffles(self) -> None:
-        """Lets Spark's cleaner see that finished jobs' shuffle files are no longer referenced."""
-        import gc
-
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
@@ -48,7 +48,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """uint64 keys, a row for each line and a column for each band."""
+    """uint64 keys, a row for each line and a column for each band; a key tells its band, too."""
     padded = [s if len(s) >= k else s + "\0" * (k - len(s)) for s in lines]
     n = np.fromiter(map(len, padded), np.int64, len(padded))
     cp = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -74,7 +74,7 @@ def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int
     keys = np.zeros((len(n), bands), np.uint64)
     for i in range(rows):
         keys = _mix(keys * _A + sig[:, i::rows])
-    return keys
+    return _mix(keys * _A + np.arange(bands, dtype=np.uint64))
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
@@ -93,10 +93,9 @@ def _posted(lines: DataFrame) -> DataFrame:
                 b = batch.slice(at, 2000)
                 keys = band_keys(b.column(1).to_pylist())
                 lid = np.repeat(b.column(0).to_numpy(), BANDS)
-                band = np.tile(np.arange(BANDS, dtype=np.int8), len(b))
-                yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(keys.ravel().view(np.int64)), pa.array(lid)], names=["band", "key", "lid"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(lid)], names=["key", "lid"])
 
-    return lines.select("lid", "line").mapInArrow(run, "band byte, key long, lid long")
+    return lines.select("lid", "line").mapInArrow(run, "key long, lid long")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -151,17 +150,16 @@ def _block_links(pairs: DataFrame) -> DataFrame:
 
 def links(lines: DataFrame, scratch: Scratch, list_cap: int = LIST_CAP) -> DataFrame:
     """Distinct lines(lid, line) -> edges (src, dst) whose components are those of all verified pairs that share a list."""
-    posted = _posted(lines)
-    lengths = posted.groupBy("band", "key").count().where("count > 1")
-    listed = scratch.write(posted.join(lengths, ["band", "key"]))
+    # one shuffle of the postings: a list's length is counted where it lies, and lists of one line go
+    listed = scratch.write(_posted(lines).withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1"))
     shared = listed.select("lid").distinct()
     few = scratch.write(shared)
     text = scratch.write(lines.select("lid", "line").join(F.broadcast(few) if few.count() <= BROADCAST_LINES else few, "lid", "left_semi"))
-    lists = listed.where(F.col("count") <= list_cap).groupBy("band", "key").agg(F.array_sort(F.collect_list("lid")).alias("l"))
+    lists = listed.where(F.col("count") <= list_cap).groupBy("key").agg(F.array_sort(F.collect_list("lid")).alias("l"))
     pairs = lists.select("l", F.posexplode("l").alias("i", "src")).select("src", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("dst")).distinct()
     long_ = listed.where(F.col("count") > list_cap)
-    heads = long_.groupBy("band", "key").agg(F.min("lid").alias("head"))
-    spokes = long_.join(heads, ["band", "key"]).where("lid <> head")
+    heads = long_.groupBy("key").agg(F.min("lid").alias("head"))
+    spokes = long_.join(heads, ["key"]).where("lid <> head")
     # every pair once, whichever lists it is of
     asked = pairs.union(spokes.select(F.col("head").alias("src"), F.col("lid").alias("dst"))).distinct()
     asked = asked.join(text.select(F.col("lid").alias("src"), F.col("line").alias("a")), "src").join(text.select(F.col("lid").alias("dst"), F.col("line").alias("b")), "dst")
@@ -170,19 +168,18 @@ def links(lines: DataFrame, scratch: Scratch, list_cap: int = LIST_CAP) -> DataF
     far = spokes.join(checked.where("not near").select(F.col("src").alias("head"), F.col("dst").alias("lid")), ["head", "lid"], "left_semi")
     if far.isEmpty():
         return edges
-    odd = scratch.write(far.select("band", "key", "lid").distinct())
-    sized = long_.join(odd.select("band", "key").distinct(), ["band", "key"], "left_semi").select("band", "key", "lid", F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    pack = lambda df, name: df.join(text, "lid").groupBy("band", "key", F.pmod(F.shiftright("lid", 9), "blocks").alias(name + "_no")).agg(F.collect_list(F.struct("lid", "line")).alias(name))
+    odd = scratch.write(far.select("key", "lid").distinct())
+    sized = long_.join(odd.select("key").distinct(), ["key"], "left_semi").select("key", "lid", F.ceil(F.col("count") / BLOCK).alias("blocks"))
+    pack = lambda df, name: df.join(text, "lid").groupBy("key", F.pmod(F.shiftright("lid", 9), "blocks").alias(name + "_no")).agg(F.collect_list(F.struct("lid", "line")).alias(name))
     every = pack(sized, "two")
-    ones = pack(sized.join(odd, ["band", "key", "lid"], "left_semi"), "one")
-    return edges.union(_block_links(ones.join(every, ["band", "key"]).select("one", "two")))
+    ones = pack(sized.join(odd, ["key", "lid"], "left_semi"), "one")
+    return edges.union(_block_links(ones.join(every, ["key"]).select("one", "two")))
 
 
 def kept_lines(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, doc, pos): the non-blank line occurrences that stay, one for each component."""
     scratch = Scratch(docs.sparkSession)
     lines = scratch.write(distinct_lines(docs))
-    scratch.release_shuffles()
     roots = components(links(lines, scratch, list_cap), scratch).withColumnRenamed("node", "lid")
     firsts = lines.select("lid", "first").join(roots, "lid", "left").groupBy(F.coalesce("component", "lid").alias("root")).agg(F.min("first").alias("f"))
     return firsts.select("f.doc_id", "f.doc", "f.pos")

@@ -227,7 +227,6 @@ def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     keyed = _keyed(docs)
     buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = scratch.write(_refine(_gather(keyed, buckets)))
-    scratch.release_shuffles()
     spans = lambda df: df.groupBy("key", "crc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     asks = spans(found.where("kind = 0"))
     texts = keyed.withColumn("crc", F.crc32("bytes"))
@@ -236,7 +235,6 @@ def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     least = F.min("key").over(Window.partitionBy("h", "h2"))
     late = strings.withColumn("least", least).where("key > least").select("key", "crc", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
     late = scratch.write(late)
-    scratch.release_shuffles()
     return spans(found.where("kind = 1").select("key", "crc", "lo", "hi").union(late))
 
 

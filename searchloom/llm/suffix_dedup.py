@@ -33,7 +33,7 @@ from .common import Scratch
 LENGTH, Q = 50, 20
 _W = LENGTH - Q + 1
 #: Windows of a text that are worked on at once, and anchors that a map task gathers before it sends them on.
-PIECE, FLUSH = 1 << 19, 2_000_000
+PIECE, FLUSH = 1 << 18, 400_000
 NO_ID = (1 << 63) - 1
 _U = np.uint64
 
@@ -225,7 +225,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs(doc_id, text) -> (key, crc, spans array<struct<lo, hi>>): the bytes to be removed of a document, in pieces that may overlap."""
     keyed = _keyed(docs)
-    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = 4 * max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = scratch.write(_refine(_gather(keyed, buckets)))
     spans = lambda df: df.groupBy("key", "crc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     asks = spans(found.where("kind = 0"))

@@ -92,7 +92,7 @@ def encode(ids: np.ndarray) -> bytes:
     """ids (below 2^16) of a segment -> its blocks, each with count, length and checksum."""
     n = len(ids)
     lanes = -(-n // BLOCK)
-    grid = np.zeros(lanes * BLOCK, np.int64)
+    grid = np.zeros(lanes * BLOCK, np.uint16)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
     counts = np.full(lanes, BLOCK)
@@ -128,7 +128,7 @@ def encode(ids: np.ndarray) -> bytes:
         if t >= last:  # the last block is shorter: its lane codes zeros that the reader doesn't ask for
             if lanes == 1:
                 break
-        x = grid[t]
+        x = grid[t].astype(np.int64)
         s2, s1, e2, e1, row = m.look(a, b)
         sym = _symbol(x, e2, e1)
         base = row * _WIDTH
@@ -169,7 +169,7 @@ def decode(data: bytes) -> np.ndarray:
             raise ValueError(f"block {k} is damaged")
         words[k, :used] = np.frombuffer(data, "<u2", used, at)
         at += 2 * used
-    grid = np.zeros((BLOCK, lanes), np.int64)
+    grid = np.zeros((BLOCK, lanes), np.uint16)
     m, low, rng, code = _Model(lanes), np.zeros(lanes, _U), np.full(lanes, _MASK), np.zeros(lanes, _U)
     for k in range(3):
         code = (code << _WORD) | words[:, k]
@@ -225,4 +225,4 @@ def decode(data: bytes) -> np.ndarray:
         a, b = b, x
     flat = grid.T.ravel()
     n = int(table[:, 0].sum())
-    return flat[:n].astype(np.uint16)
+    return flat[:n]

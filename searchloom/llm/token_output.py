@@ -34,7 +34,7 @@ from .common import Scratch
 #: Ids in a segment, at least, unless its shard ends.
 SEGMENT = 2048 * range_coder.BLOCK
 #: Words whose ids a worker keeps.
-CACHE = 1_000_000
+CACHE = 300_000
 #: Segments are few; their starts are broadcast up to this many and joined by shuffle beyond.
 BROADCAST_SEGMENTS = 50_000
 #: Texts of these characters only are split by our own copy of the pre-tokenizer's pattern.

@@ -19,11 +19,11 @@ import zlib
 import numpy as np
 
 MAGIC = b"SLR1"
-BLOCK = 2048
+BLOCK = 1024
 REFRESH = 16
 _CLASSES = 32
 _SYMBOLS = 2 + _CLASSES
-_SLOTS2, _SLOTS1 = 2048, 1024
+_SLOTS2, _SLOTS1 = 1024, 512
 #: Places of a row of cumulative counts: 64 for a binary search in 6 steps, and one to read its end.
 _WIDTH = 65
 _MASK = np.uint64((1 << 48) - 1)

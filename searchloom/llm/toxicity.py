@@ -134,7 +134,7 @@ class Model:
     def features(self, text: str | None) -> list[float]:
         tokens = _TOKEN.findall((text or "").lower())
         seen, open_, n, hits = self._seen, None, 0, []
-        if len(seen) > 200_000:
+        if len(seen) > 50_000:
             seen.clear()
         last_report = -WINDOW
         for tok in tokens:

@@ -77,7 +77,7 @@ def _hits_sql(base: str, wanted, unwanted=(), where: str = "true") -> str:
     return f"""WITH {base}, w AS (SELECT *, {_toks('name')} AS nw, {_toks('content')} AS cw FROM docs),
 t AS (SELECT root, path, name, ext, size, modified_time, len(nw) + len(cw) AS len_{cols} FROM w),
 st AS (SELECT root AS r, count(*) AS nd, avg(len_) AS mean{df} FROM t GROUP BY root),
-hits AS (SELECT root, path, name, ext, size, modified_time, 0.0 {score} AS score FROM t JOIN st ON root = r WHERE ({match}) AND ({where}))"""
+hits AS (SELECT root, path, name, ext, size, modified_time, 0.0e0 {score} AS score FROM t JOIN st ON root = r WHERE ({match}) AND ({where}))"""
 
 
 def _page(spark, sf, q: SearchQuery, docs=corpus) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Settings while a table is written: its shuffle files go with the job, and Arrow batches of long texts stay small.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
+def trim() -> None:
+    """Gives a worker's freed memory back to the system, where that can be asked for."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors.
 
@@ -50,14 +69,15 @@ class Scratch:
 
     def write(self, df: DataFrame, **options) -> DataFrame:
         path = f"{self.base}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
-        # a table that is written needs the shuffle files it came from no more
-        conf, name = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = conf.get(name, None)
-        conf.set(name, "true")
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in WRITING}
+        for k, v in WRITING.items():
+            conf.set(k, v)
         try:
             df.write.options(**options).parquet(path)
         finally:
-            conf.unset(name) if before is None else conf.set(name, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out

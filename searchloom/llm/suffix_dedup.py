@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, trim
 
 LENGTH, Q = 50, 20
 _W = LENGTH - Q + 1
 #: Windows of a text that are worked on at once, and anchors that a map task gathers before it sends them on.
-PIECE, FLUSH = 1 << 18, 400_000
+PIECE, FLUSH = 1 << 17, 200_000
 NO_ID = (1 << 63) - 1
 _U = np.uint64
 
@@ -158,6 +158,8 @@ def _gather(docs: DataFrame, buckets: int) -> DataFrame:
                         parts, total, turn = [], 0, turn + 1
         if parts:
             yield from _send(parts, buckets, turn)
+        parts.clear()
+        trim()
 
     return docs.select("key", "bytes").mapInArrow(run, "bucket int, kind byte, blob binary")
 
@@ -172,7 +174,7 @@ def _refine(gathered: DataFrame) -> DataFrame:
         kind, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         hits = _unpack([b for k, b in zip(kind, blobs, strict=True) if k == 1], _HITS)
         c = _unpack([b for k, b in zip(kind, blobs, strict=True) if k == 0], _COLUMNS)
-        del blobs
+        del blobs, table
         out = [(1, hits["doc"], hits["crc"], hits["lo"], hits["hi"])]
         if len(c["gram"]):
             c, number, least = _classes(c)
@@ -186,6 +188,8 @@ def _refine(gathered: DataFrame) -> DataFrame:
             asks = np.flatnonzero(many & ~covered)
             # of one document's repeats in a class one is enough to be compared, but all may be covered, so all ask
             out.append((0, c["doc"][asks], c["crc"][asks], (a - c["lo"])[asks], (a - c["hi"])[asks]))
+        del c, hits
+        trim()
         return pa.Table.from_arrays([pa.array(np.concatenate([np.full(len(x[1]), x[0], np.int8) for x in out])), *[pa.array(np.concatenate([x[i].astype(np.int64) for x in out])) for i in (1, 2, 3, 4)]], schema=_FOUND)
 
     return gathered.groupBy("bucket").applyInArrow(run, "kind byte, key long, crc long, lo long, hi long")

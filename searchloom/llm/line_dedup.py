@@ -4,7 +4,7 @@ Distinct non-blank lines (split at newlines) get a one-permutation MinHash of th
 falls in one of BANDS * ROWS bins, each keeps its least, and an empty bin borrows from the next one. Lines that agree in all ROWS
 bins of a band share a list. Pairs of a list are verified by exact Jaccard of their shingle sets, at SIMILARITY
 or more. A list longer than LIST_CAP isn't paired: all its lines are verified against its first; those near it are connected
-already, and only the others meet the whole list, block by block, where products of shingle matrices give exact
+already, whatever their number, and only the others meet the whole list, block by block, where products of shingle matrices give exact
 similarities and a spanning forest is kept. Components are joined by union-find; each keeps its first occurrence,
 by doc_id and line, and loses the others.
 
@@ -18,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
 
 SHINGLE, SIMILARITY = 7, 0.8
 BANDS, ROWS = 12, 4
-LIST_CAP, BLOCK = 64, 512
+LIST_CAP, BLOCK = 2, 512
 #: Ids of lines that share a list are broadcast up to this many (about 16 MB) and joined by shuffle beyond.
 BROADCAST_LINES = 500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -52,17 +52,24 @@ def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int
     padded = [s if len(s) >= k else s + "\0" * (k - len(s)) for s in lines]
     n = np.fromiter(map(len, padded), np.int64, len(padded))
     cp = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    h = np.zeros(len(cp) - k + 1, np.uint64)
-    for i in range(k):
-        h *= _A
-        h += cp[i : len(h) + i]
+    h, length, rest = np.zeros(len(cp) + 1, np.uint64), 0, k
+    power, piece = cp, 1  # hashes of runs of `piece` characters, doubled as the bits of k are used up
+    while rest:
+        if rest & 1:
+            n_out = len(cp) - length - piece + 1
+            h = h[:n_out] * np.uint64(pow(int(_A), piece, 1 << 64)) + power[length : length + n_out]
+            length += piece
+        rest >>= 1
+        if rest:
+            power = power[:-piece] * np.uint64(pow(int(_A), piece, 1 << 64)) + power[piece:]
+            piece *= 2
     _mix(h)
     row = np.repeat(np.arange(len(n)), n)[: len(h)]
     left = (np.cumsum(n)[row] - np.arange(len(h))) >= k
     h, row = h[left], row[left]
     bins = bands * rows
     sig = np.full(len(n) * bins, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(sig, row * bins + ((h >> np.uint64(40)) % np.uint64(bins)).astype(np.int64), h)
+    np.minimum.at(sig, row * bins + (((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64), h)
     sig = sig.reshape(-1, bins)
     empty = sig == np.iinfo(np.uint64).max
     step = np.uint64(1)
@@ -77,11 +84,15 @@ def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int
     return _mix(keys * _A + np.arange(bands, dtype=np.uint64))
 
 
+def _blank(line: Column) -> Column:
+    return ~line.rlike(r"[^ \t\r\x0b\x0c]")
+
+
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (lid, line, first struct<doc_id, doc, pos>)."""
     text = F.col("text")
     doc = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("doc")
-    rows = docs.where(text.isNotNull()).select("doc_id", doc, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).where(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "")
+    rows = docs.where(text.isNotNull()).select("doc_id", doc, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).where(~_blank(F.col("line")))
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc", "pos")
     return rows.groupBy(F.xxhash64("line").alias("lid")).agg(F.min_by("line", at).alias("line"), F.min(at).alias("first"))
 
@@ -186,7 +197,7 @@ def kept_lines(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
 
 
 def _lines_of(docs: DataFrame) -> DataFrame:
-    blank = F.filter(F.split("text", "\n", -1), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) == "")
+    blank = F.filter(F.split("text", "\n", -1), _blank)
     return docs.select("doc_id", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("doc"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.size(blank)).cast("long").alias("n_blank"))
 
 
@@ -202,7 +213,7 @@ def dedup(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     """All columns of docs, the texts without removed lines."""
     keyed = docs.withColumn("_doc", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
     kept = kept_lines(docs, list_cap).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("pos").alias("_kept"))
-    stays = F.filter(F.split("text", "\n", -1), lambda x, i: F.coalesce(F.array_contains("_kept", i), F.lit(False)) | (F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) == ""))
+    stays = F.filter(F.split("text", "\n", -1), lambda x, i: F.coalesce(F.array_contains("_kept", i), F.lit(False)) | _blank(x))
     text = F.array_join(stays, "\n").alias("text")
     joined = keyed.join(kept, "_doc", "left")
     return joined.select(*[text if c == "text" else keyed[c] for c in docs.columns])

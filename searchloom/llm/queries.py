@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding_dedup, line_dedup, mixing, simhash_dedup, suffix_dedup, token_output, toxicity, url_filter
+from . import chat, decontaminate, embedding_dedup, line_dedup, mixing, oracles, simhash_dedup, suffix_dedup, token_output, toxicity, url_filter
 from .common import Scratch, table
 
 
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_embeddings": oracles.OP1, "op2_decontaminate": oracles.OP2, "op7_suffixes": oracles.OP7, "op9_chat": oracles.OP9}

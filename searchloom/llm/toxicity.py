@@ -6,7 +6,7 @@ Learned from labelled training rows only. Lexicon: words that toxic texts use in
 first letter from which no term is in reach. Words that non-toxic texts use are no misspellings. Each hit is looked at
 in its window: inside quotation marks or after a reporting verb it counts as quoted, else as abuse; the densest window
 of hits counts too. A logistic regression over these features gives the score; it is fitted on the features
-of FIT_ROWS training rows at most, those with the smallest hashes. About LABELS labelled rows at most are learned from at all.
+of about FIT_ROWS training rows at most, chosen by their hashes. About LABELS labelled rows at most are learned from at all.
 
 Defined cases: null and empty texts have no hits and the model's base score; null labels and labels of unknown documents are ignored,
 a document with several labels is toxic if one says so; without training rows of both kinds every score is 0; repeated
@@ -214,7 +214,8 @@ def learn(labelled: DataFrame) -> Model:
 
     words_near = share.where((F.col("fine") > 1) & (lift < LIFT)).orderBy("word").select("word").mapInArrow(near, "word string")
     model.known = frozenset(r["word"] for r in words_near.limit(KNOWN).collect())
-    fit = rows.orderBy("h").limit(FIT_ROWS).select("text", "toxic")
+    total = n[0] + n[1]
+    fit = (rows.where(F.pmod("h", F.lit(1 << 20)) < int(FIT_ROWS / total * (1 << 20))) if total > FIT_ROWS else rows).select("text", "toxic")
 
     def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

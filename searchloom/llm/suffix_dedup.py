@@ -8,8 +8,9 @@ earlier) offsets, each level reusing the one before:
 1. Anchors fall into buckets by their q-gram.
 2. A bucket is sorted by the identifiers of its members' blocks, the 80 bytes that hold every 50-byte string with this anchor.
    Members with equal blocks are one class: all but the smallest document are covered there, and need no more work.
-3. Only in buckets with two or more classes of different documents, one member of each class refines to its single
-   50-byte strings; their identifiers are compared across classes.
+3. What is left is sorted by the q-gram with 15 more bytes before it, and again with 15 more after it: any 50-byte string holds one or
+   the other. Only members that share one of these with another document refine to single 50-byte strings on that side, whose
+   identifiers are compared across classes.
 
 Each map task settles equal blocks among its own documents first, so a passage that a third of all documents share reaches
 its bucket once for each task's batch, not once for each document. Identifiers are 96 bits of two independent hashes.
@@ -32,6 +33,8 @@ from .common import Scratch, trim
 
 LENGTH, Q = 50, 20
 _W = LENGTH - Q + 1
+#: A string has at least so many bytes before its anchor's q-gram, or else after it.
+_SIDE = (LENGTH - Q) // 2
 #: Windows of a text that are worked on at once, and anchors that a map task gathers before it sends them on.
 PIECE, FLUSH = 1 << 17, 200_000
 NO_ID = (1 << 63) - 1
@@ -68,7 +71,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def anchors(text: bytes, one: Hashes, two: Hashes) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor, first window, last window, q-gram id, block id) of a text, piece by piece."""
+    """(anchor, first window, last window, left side id, right side id, q-gram id, block id) of a text, piece by piece."""
     n = len(text)
     for s in range(0, n - LENGTH + 1, PIECE):
         e = min(n - LENGTH + 1, s + PIECE)
@@ -90,10 +93,16 @@ def anchors(text: bytes, one: Hashes, two: Hashes) -> Iterator[tuple[np.ndarray,
         a = where[first] + s
         left, right = np.minimum(a, _W - 1), np.minimum(n - a, LENGTH)
         block = two.of(p2, a - left - x0, a + right - x0)
-        yield a, first + s, last + s, (grams[where[first]] >> _U(32)).astype(np.uint32), mix(block + (left * 64 + right).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        # the q-gram with the bytes before it, and with those after it; 0 where the text doesn't reach so far
+        sides = []
+        for lo, hi in ((a - _SIDE, a + Q), (a, a + Q + _SIDE)):
+            inside = (lo >= 0) & (hi <= n)
+            h = two.of(p2, np.where(inside, lo - x0, 0), np.where(inside, hi - x0, 0)) >> _U(32)
+            sides.append(np.where(inside, h | _U(1), _U(0)).astype(np.uint32))
+        yield a, first + s, last + s, *sides, (grams[where[first]] >> _U(32)).astype(np.uint32), mix(block + (left * 64 + right).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
-_COLUMNS = (("gram", "<u4"), ("block", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("a", "<u4"), ("lo", "u1"), ("hi", "u1"))
+_COLUMNS = (("gram", "<u4"), ("block", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("a", "<u4"), ("lo", "u1"), ("hi", "u1"), ("left", "<u4"), ("right", "<u4"))
 _HITS = (("doc", "<i8"), ("crc", "<u4"), ("lo", "<u4"), ("hi", "<u4"))
 
 
@@ -150,8 +159,8 @@ def _gather(docs: DataFrame, buckets: int) -> DataFrame:
                 if len(t) < LENGTH:
                     continue
                 crc = zlib.crc32(t)
-                for a, lo, hi, gram, block in anchors(t, one, two):
-                    parts.append((gram, block, np.full(len(a), key.as_py(), np.int64), np.full(len(a), crc, np.uint32), a, a - lo, a - hi))
+                for a, lo, hi, left, right, gram, block in anchors(t, one, two):
+                    parts.append((gram, block, np.full(len(a), key.as_py(), np.int64), np.full(len(a), crc, np.uint32), a.astype(np.uint32), (a - lo).astype(np.uint8), (a - hi).astype(np.uint8), left, right))
                     total += len(a)
                     if total >= FLUSH:
                         yield from _send(parts, buckets, turn)
@@ -167,6 +176,19 @@ def _gather(docs: DataFrame, buckets: int) -> DataFrame:
 _FOUND = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("crc", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
+def _shared(c: dict, side: str) -> np.ndarray:
+    """Rows whose q-gram and bytes on this side another document has, too."""
+    out = np.zeros(len(c["gram"]), bool)
+    if not len(out):
+        return out
+    order = np.lexsort((c["doc"], c[side], c["gram"]))
+    gram, own, doc = (c[k][order] for k in ("gram", side, "doc"))
+    starts = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (own[1:] != own[:-1]))))
+    size = np.diff(np.concatenate((starts, [len(doc)])))
+    out[order] = np.repeat(np.maximum.reduceat(doc, starts) != np.minimum.reduceat(doc, starts), size) & (own != 0)
+    return out
+
+
 def _refine(gathered: DataFrame) -> DataFrame:
     """Buckets -> kind 1: covered bytes [lo, hi); kind 0: windows lo..hi that are to be compared one by one."""
 
@@ -181,13 +203,15 @@ def _refine(gathered: DataFrame) -> DataFrame:
             a = c["a"].astype(np.int64)
             covered = c["doc"] > least
             out.append((1, c["doc"][covered], c["crc"][covered], (a - c["lo"])[covered], (a - c["hi"])[covered] + LENGTH))
-            # buckets in which classes have different smallest documents
-            bucket = np.concatenate(([0], np.cumsum(c["gram"][1:] != c["gram"][:-1])))
-            starts = np.flatnonzero(np.concatenate(([True], np.diff(bucket) > 0)))
-            many = (np.maximum.reduceat(least, starts) != np.minimum.reduceat(least, starts))[bucket]
-            asks = np.flatnonzero(many & ~covered)
-            # of one document's repeats in a class one is enough to be compared, but all may be covered, so all ask
-            out.append((0, c["doc"][asks], c["crc"][asks], (a - c["lo"])[asks], (a - c["hi"])[asks]))
+            # of a class its smallest document is left; it asks if another document shares its q-gram and the bytes on one side
+            c = {k: v[~covered] for k, v in c.items()}
+            first, last = c["a"].astype(np.int64) - c["lo"], c["a"].astype(np.int64) - c["hi"]
+            middle = c["a"].astype(np.int64) - _SIDE
+            on_left, on_right = _shared(c, "left"), _shared(c, "right")
+            first = np.where(on_left, first, np.maximum(first, middle))
+            last = np.where(on_right, last, np.minimum(last, middle))
+            asks = np.flatnonzero((on_left | on_right) & (first <= last))
+            out.append((0, c["doc"][asks], c["crc"][asks], first[asks], last[asks]))
         del c, hits
         trim()
         return pa.Table.from_arrays([pa.array(np.concatenate([np.full(len(x[1]), x[0], np.int8) for x in out])), *[pa.array(np.concatenate([x[i].astype(np.int64) for x in out])) for i in (1, 2, 3, 4)]], schema=_FOUND)

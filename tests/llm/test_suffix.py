@@ -57,7 +57,7 @@ def test_pieces_of_a_long_text():
         parts = list(sx.anchors(t, sx.Hashes(1), sx.Hashes(2)))
     finally:
         sx.PIECE = old
-    at = lambda ps: {(int(a), w, int(g), int(b)) for p in ps for a, lo, hi, g, b in zip(*p) for w in range(lo, hi + 1)}  # noqa: E731, B905
+    at = lambda ps: {(int(a), w, int(g), int(b)) for p in ps for a, lo, hi, _, _, g, b in zip(*p) for w in range(lo, hi + 1)}  # noqa: E731, B905
     assert len(parts) > 5 and at(whole) == at(parts) and {w for _, w, _, _ in at(whole)} == set(range(len(t) - 49))
 
 

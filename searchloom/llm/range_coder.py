@@ -62,32 +62,22 @@ class _Model:
         mixed += (self.n0 + 1)[:, None, :]
         np.cumsum(mixed.reshape(-1, _SYMBOLS), axis=1, out=self.cum[:, 1 : _SYMBOLS + 1])
 
-    def look(self, a: np.ndarray, b: np.ndarray):
-        """Predictions after ids a, b (b the latest): slots, entries, row of the tables."""
-        s2 = self.at2 + (((a * 40503 + b * 30011) >> 5) & (_SLOTS2 - 1))
-        s1 = self.at1 + ((b * 40503 >> 4) & (_SLOTS1 - 1))
+    def slots(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the predictions after ids a, b (b the latest) are kept."""
+        return self.at2 + ((a * 40503 + b * 30011 >> 5) & (_SLOTS2 - 1)), self.at1 + ((b * 40503 >> 4) & (_SLOTS1 - 1))
+
+    def look(self, s2: np.ndarray, s1: np.ndarray):
+        """Predictions, and the row of the tables for what is known of them. An entry is the id plus 1, times 4, plus 1 for seen and 2 for right the last time."""
         e2, e1 = self.two.take(s2), self.one.take(s1)
-        return s2, s1, e2, e1, self.lane4 + ((e2 >> 16) > 1) * 2 + ((e1 >> 16) > 1)
-
-    def learn(self, s2, s1, e2, e1, row, x, sym) -> None:
-        """An entry is an id and, above 16 bits, 1 for seen and 2 for right the last time."""
-        x32 = x.astype(np.uint32)
-        for table, s, e in ((self.two, s2, e2), (self.one, s1, e1)):
-            right = (e & 0xFFFF) == x32
-            right &= e > 0xFFFF
-            table[s] = x32 + (np.uint32(1 << 16) << right.astype(np.uint32))
+        return e2 >> 2, e1 >> 2, self.lane4 + ((e2 & 2) + ((e1 & 2) >> 1))
+
+    def learn(self, s2, s1, entry, right2, right1, row, sym) -> None:
+        self.two[s2] = entry + right2
+        self.one[s1] = entry + right1
         self.flat0[self.lane_s + sym] += 1
         self.flatc[row * _SYMBOLS + sym] += 1
 
 
-def _symbol(x, e2, e1):
-    seen2, seen1 = e2 > 0xFFFF, e1 > 0xFFFF
-    sym = _CLASS.take(x) + 2
-    sym[seen1 & ((e1 & 0xFFFF) == x)] = 1
-    sym[seen2 & ((e2 & 0xFFFF) == x)] = 0
-    return sym
-
-
 def encode(ids: np.ndarray) -> bytes:
     """ids (below 2^16) of a segment -> its blocks, each with count, length and checksum."""
     n = len(ids)
@@ -100,7 +90,6 @@ def encode(ids: np.ndarray) -> bytes:
         counts[-1] = n - (lanes - 1) * BLOCK
     out, used = np.zeros((lanes, BLOCK * 2 + 8), np.uint16), np.zeros(lanes, np.int64)
     m, low, rng = _Model(lanes), np.zeros(lanes, _U), np.full(lanes, _MASK)
-    a = b = np.zeros(lanes, np.int64)
 
     def push(which: np.ndarray) -> None:
         out[which, used[which]] = low[which] >> _U(32)
@@ -123,29 +112,34 @@ def encode(ids: np.ndarray) -> bytes:
             low[which] = (l << _WORD) & _MASK
             rng[which] = (r << _WORD) & _MASK
 
-    last = counts.min() if lanes else 0
-    for t in range(BLOCK if lanes else 0):
-        if t >= last:  # the last block is shorter: its lane codes zeros that the reader doesn't ask for
-            if lanes == 1:
-                break
-        x = grid[t].astype(np.int64)
-        s2, s1, e2, e1, row = m.look(a, b)
-        sym = _symbol(x, e2, e1)
-        base = row * _WIDTH
-        own = base + sym
-        lo, hi = m.flat.take(own), m.flat.take(own + 1)
-        rng //= m.flat.take(base + _SYMBOLS).astype(_U)
-        low += rng * lo.astype(_U)
-        rng *= (hi - lo).astype(_U)
-        shrink(_BOT)
-        bits = np.where(sym > 1, _BITS.take(x), 0).astype(_U)
-        rng >>= bits
-        low += rng * np.where(sym > 1, _LOW.take(x), 0).astype(_U)
-        shrink()
-        m.learn(s2, s1, e2, e1, row, x, sym)
-        if t % REFRESH == REFRESH - 1:
-            m.refresh()
-        a, b = b, x
+    # what depends on the ids alone is worked out for some steps at once
+    before = np.zeros((2, lanes), np.int64)
+    steps = int(counts.max(initial=0))
+    for t0 in range(0, steps, REFRESH):
+        x = grid[t0 : t0 + REFRESH].astype(np.int64)
+        past = np.concatenate((before, x))
+        before = past[-2:]
+        slots2, slots1 = m.slots(past[:-2], past[1:-1])
+        ids1 = (x + 1).astype(np.uint32)
+        entries, classes, widths, lows = ids1 * 4 + 1, _CLASS.take(x) + 2, _BITS.take(x).astype(_U), _LOW.take(x).astype(_U)
+        for k in range(min(REFRESH, steps - t0)):
+            s2, s1 = slots2[k], slots1[k]
+            p2, p1, row = m.look(s2, s1)
+            right2, right1 = p2 == ids1[k], p1 == ids1[k]
+            sym = np.where(right2, 0, np.where(right1, 1, classes[k]))
+            base = row * _WIDTH
+            own = base + sym
+            lo, hi = m.flat.take(own), m.flat.take(own + 1)
+            rng //= m.flat.take(base + _SYMBOLS).astype(_U)
+            low += rng * lo.astype(_U)
+            rng *= (hi - lo).astype(_U)
+            shrink(_BOT)
+            plain = sym > 1
+            rng >>= np.where(plain, widths[k], 0)
+            low += rng * np.where(plain, lows[k], 0)
+            shrink()
+            m.learn(s2, s1, entries[k], right2, right1, row, sym)
+        m.refresh()
     for _ in range(3 if lanes else 0):
         push(m.lane)
         low = (low << _WORD) & _MASK
@@ -198,7 +192,8 @@ def decode(data: bytes) -> np.ndarray:
 
     steps = int(table[:, 0].max(initial=0))
     for t in range(steps):
-        s2, s1, e2, e1, row = m.look(a, b)
+        s2, s1 = m.slots(a, b)
+        p2, p1, row = m.look(s2, s1)
         base = row * _WIDTH
         total = m.flat.take(base + _SYMBOLS)
         rng //= total.astype(_U)
@@ -217,9 +212,11 @@ def decode(data: bytes) -> np.ndarray:
         res = np.minimum((((code - low) & _MASK) // rng).astype(np.int64), (1 << bits) - 1)
         low += rng * res.astype(_U)
         shrink()
-        x = np.where(sym == 0, e2 & 0xFFFF, np.where(sym == 1, e1 & 0xFFFF, _FIRST.take(cls) + res)).astype(np.int64)
+        right2 = sym == 0
+        x = np.where(right2, p2.astype(np.int64) - 1, np.where(sym == 1, p1.astype(np.int64) - 1, _FIRST.take(cls) + res))
         grid[t] = x
-        m.learn(s2, s1, e2, e1, row, x, sym)
+        ids1 = (x + 1).astype(np.uint32)
+        m.learn(s2, s1, ids1 * 4 + 1, right2, p1 == ids1, row, sym)
         if t % REFRESH == REFRESH - 1:
             m.refresh()
         a, b = b, x

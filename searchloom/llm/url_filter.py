@@ -28,7 +28,7 @@ BROADCAST_POSTINGS = 50_000
 
 def host_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first :// up to / ? # or end, A-Z lower-cased; path: from there up to ? # or end."""
-    rest = F.when(url.contains("://"), F.expr("substr({0}, instr({0}, '://') + 3)".format("url"))).otherwise("")
+    rest = F.when(url.contains("://"), F.substr(url, F.instr(url, "://") + 3)).otherwise("")
     rest = F.coalesce(rest, F.lit(""))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     return lower_ascii(host), F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)

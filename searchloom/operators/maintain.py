@@ -11,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchloom.functions.files import inside
-
 # Why a file's text could not be read. They are stored and never renumbered.
 PROBLEMS = {"None": 0, "CannotOpen": 1, "Damaged": 2, "Protected": 3, "TooLarge": 4, "Failed": 5, "ImagesOnly": 6}
 
@@ -131,9 +129,3 @@ def run_index(files: DataFrame, scan: DataFrame, extract: Callable[[DataFrame],
         after = remove(after, reconcile(files, scan, unreadable, unavailable).where("action = 'remove'").select("root", "path"))
     return after, written
 
-
-def inside_any(path: Column, folders: list[str]) -> Column:
-    out = F.lit(False)
-    for f in folders:
-        out = out | inside(path, f)
-    return out

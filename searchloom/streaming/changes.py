@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from searchloom.functions.files import inside
 from searchloom.operators import maintain
 
 KINDS = ("Created", "Modified", "Removed", "RenamedTo", "Overflow", "Retry")
@@ -99,6 +98,3 @@ def windowed(events: DataFrame, quiet: str = "500 milliseconds", late: str = "10
     kept = events.withWatermark("ts", late)
     return kept.groupBy(F.session_window("ts", quiet), "root", "path").agg(F.max_by("kind", "seq").alias("kind"), F.count("*").alias("n"))
 
-
-def below(path: Column, folder: Column) -> Column:
-    return inside(path, folder)

@@ -25,7 +25,7 @@ from .common import Scratch, components
 
 SHINGLE, SIMILARITY = 7, 0.8
 BANDS, ROWS = 12, 4
-LIST_CAP, BLOCK = 2, 512
+LIST_CAP, BLOCK = 64, 512
 #: Ids of lines that share a list are broadcast up to this many (about 16 MB) and joined by shuffle beyond.
 BROADCAST_LINES = 500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -47,8 +47,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """uint64 keys, a row for each line and a column for each band; a key tells its band, too."""
+def shingle_ids(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit ids of all lines' shingles in order, and the number of each one's line."""
     padded = [s if len(s) >= k else s + "\0" * (k - len(s)) for s in lines]
     n = np.fromiter(map(len, padded), np.int64, len(padded))
     cp = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -66,7 +66,13 @@ def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int
     _mix(h)
     row = np.repeat(np.arange(len(n)), n)[: len(h)]
     left = (np.cumsum(n)[row] - np.arange(len(h))) >= k
-    h, row = h[left], row[left]
+    return h[left], row[left]
+
+
+def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """uint64 keys, a row for each line and a column for each band; a key tells its band, too."""
+    h, row = shingle_ids(lines, k)
+    n = lines
     bins = bands * rows
     sig = np.full(len(n) * bins, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(sig, row * bins + (((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64), h)
@@ -110,16 +116,18 @@ def _posted(lines: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
-    """(src, dst, a, b) -> (src, dst, near)."""
+    """(src, dst, a, b) -> (src, dst, near): exact Jaccard of the shingles, by their 64-bit ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            near, last, s = [], None, set()
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if x != last:
-                    last, s = x, shingles(x)
-                near.append(similarity(s, shingles(y)) >= SIMILARITY)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_())], names=["src", "dst", "near"])
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                b = batch.slice(at, 500)
+                xs, ys = b.column(2).to_pylist(), b.column(3).to_pylist()
+                lines = list(dict.fromkeys([*xs, *ys]))
+                ids, row = shingle_ids(lines)
+                cuts, ids = np.searchsorted(row, np.arange(len(lines) + 1)).tolist(), ids.tolist()
+                sets = {s: set(ids[cuts[i] : cuts[i + 1]]) for i, s in enumerate(lines)}
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([similarity(sets[x], sets[y]) >= SIMILARITY for x, y in zip(xs, ys, strict=True)], pa.bool_())], names=["src", "dst", "near"])
 
     return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long, near boolean")
 
@@ -173,7 +181,7 @@ def links(lines: DataFrame, scratch: Scratch, list_cap: int = LIST_CAP) -> DataF
     spokes = long_.join(heads, ["key"]).where("lid <> head")
     # every pair once, whichever lists it is of
     asked = pairs.union(spokes.select(F.col("head").alias("src"), F.col("lid").alias("dst"))).distinct()
-    asked = asked.join(text.select(F.col("lid").alias("src"), F.col("line").alias("a")), "src").join(text.select(F.col("lid").alias("dst"), F.col("line").alias("b")), "dst")
+    asked = asked.join(text.select(F.col("lid").alias("dst"), F.col("line").alias("b")), "dst").join(text.select(F.col("lid").alias("src"), F.col("line").alias("a")), "src")
     checked = scratch.write(_verified(asked))
     edges = checked.where("near").select("src", "dst")
     far = spokes.join(checked.where("not near").select(F.col("src").alias("head"), F.col("dst").alias("lid")), ["head", "lid"], "left_semi")

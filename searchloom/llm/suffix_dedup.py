@@ -152,7 +152,9 @@ def _send(parts: list, buckets: int, turn: int) -> Iterator[pa.RecordBatch]:
 def _gather(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Hashes(1), Hashes(2)
-        parts, total, turn = [], 0, 0
+        from pyspark import TaskContext
+
+        parts, total, turn = [], 0, 7919 * TaskContext.get().partitionId()
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 t = text.as_py()

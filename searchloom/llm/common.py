@@ -21,6 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever characters the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, other letters as they are; `lower` decides cheaply whether there is anything to do."""
     return F.when(F.lower(c) == c, c).otherwise(F.translate(c, UPPER, LOWER))

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii
+from .common import Scratch, columns, lower_ascii, unused
 
 #: What separates words: every ASCII character that is no letter or digit. Listed one by one, which Java's matcher looks up in a table.
 BREAK = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
@@ -132,5 +132,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     """The documents without those that hold an occurrence of a window."""
     scratch = Scratch(docs.sparkSession)
     bad = scratch.write(scan(docs, benchmark, window).where("n_hit > 0").select(F.col("doc").alias("_doc")).distinct())
-    keyed = docs.withColumn("_doc", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
-    return keyed.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, "_doc", "left_anti").select(*[keyed[c] for c in docs.columns])
+    name = unused(docs, "_doc")
+    keyed = docs.withColumn(name, F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+    return keyed.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, keyed[name] == bad["_doc"], "left_anti").select(*columns(docs))

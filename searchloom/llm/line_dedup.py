@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, columns, components, unused
 
 SHINGLE, SIMILARITY = 7, 0.8
 BANDS, ROWS = 12, 4
@@ -219,9 +219,9 @@ def report(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
 
 def dedup(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     """All columns of docs, the texts without removed lines."""
-    keyed = docs.withColumn("_doc", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
-    kept = kept_lines(docs, list_cap).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("pos").alias("_kept"))
-    stays = F.filter(F.split("text", "\n", -1), lambda x, i: F.coalesce(F.array_contains("_kept", i), F.lit(False)) | _blank(x))
-    text = F.array_join(stays, "\n").alias("text")
-    joined = keyed.join(kept, "_doc", "left")
-    return joined.select(*[text if c == "text" else keyed[c] for c in docs.columns])
+    doc, kept = unused(docs, "_doc"), unused(docs, "_kept")
+    keyed = docs.withColumn(doc, F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+    stay = kept_lines(docs, list_cap).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("pos").alias(kept))
+    text = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: F.coalesce(F.array_contains(kept, i), F.lit(False)) | _blank(x)), "\n").alias("text")
+    joined = keyed.join(stay, doc, "left")
+    return joined.select(*[text if c == "text" else own for c, own in zip(docs.columns, columns(docs), strict=True)])

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, columns, unused
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -158,8 +158,9 @@ def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = 1.5, mos
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The documents that the mix takes, a row for each copy, all columns of `docs`."""
-    plan = Scratch(docs.sparkSession).write(mix(docs, seed).where("copies > 0").select(F.col("unit").alias("_unit"), F.col("copies").cast("int").alias("_copies")))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("_unit", F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), F.xxhash64("text")))
-    out = keyed.join(F.broadcast(plan) if plan.count() <= BROADCAST_UNITS else plan, "_unit")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    unit, copies, copy = (unused(docs, n) for n in ("_unit", "_copies", "_copy"))
+    plan = Scratch(docs.sparkSession).write(mix(docs, seed).where("copies > 0").select(F.col("unit").alias("unit_taken"), F.col("copies").cast("int").alias(copies)))
+    plan = plan.withColumnRenamed("unit_taken", unit)
+    keyed = docs.withColumn(unit, F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), F.xxhash64("text")))
+    out = keyed.join(F.broadcast(plan) if plan.count() <= BROADCAST_UNITS else plan, unit)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*columns(docs))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, columns, components, unused
 
 SHINGLE, SEED = 3, 42
 #: Longest list whose pairs are tallied.
@@ -114,14 +114,15 @@ def dedup(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     """The documents without all but one of each group: the one of smallest doc_id stays, null last, and of rows
     with that doc_id the one of smallest hash over all columns; of equal rows one."""
     scratch = Scratch(docs.sparkSession)
-    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns]))
-    prints = scratch.write(fingerprints(keyed, "_row"))
+    own, row = columns(docs), unused(docs, "_row")
+    keyed = docs.withColumn(row, F.xxhash64(*own, *[c.isNull() for c in own]))
+    prints = scratch.write(fingerprints(keyed, row).withColumnRenamed(row, "_row"))
     rooted = prints.join(_labels(prints, scratch, list_cap).select("fp", "root"), "fp").select("root", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row").alias("place"))
     rooted = scratch.write(rooted)
     stays = rooted.groupBy("root").agg(F.min("place").alias("place")).select("place._row")
     goes = scratch.write(rooted.select("place._row").join(stays, "_row", "left_anti").distinct())
-    out = keyed.join(F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes, "_row", "left_anti")
+    out = keyed.join(F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes, keyed[row] == goes["_row"], "left_anti")
     rows, distinct = prints.agg(F.count("*"), F.countDistinct("_row")).first()
     if rows != distinct:
-        out = out.dropDuplicates(["_row"])
-    return out.select(*[keyed[c] for c in docs.columns])
+        out = out.dropDuplicates([row])
+    return out.select(*own)

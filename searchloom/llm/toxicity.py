@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -260,12 +261,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The documents that score below the threshold, all columns."""
-    names = docs.columns
-    at = names.index("text")
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(model.features(t)) for t in texts], dtype="float64")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = pa.array([model.score(model.features(t.as_py())) < threshold for t in b.column(at)], pa.bool_())
-            yield b.filter(keep)
-
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(of(F.coalesce("text", F.lit(""))) < threshold)

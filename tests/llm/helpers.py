@@ -5,8 +5,8 @@ SF = "/root/testdata/sf0.001"
 
 def docs_df(spark, rows):
     """rows of (doc_id, text, source), with columns whose names clash with those of the operators."""
-    data = [(i, t, "en", s, None if t is None else len(t), "x", 1, 2.5) for i, t, s in rows]
-    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, component_id string, unit long, p double")
+    data = [(i, t, "en", s, None if t is None else len(t), "x", 1, 2.5, 7, i, "a", 0) for i, t, s in rows]
+    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, component_id string, unit long, p double, _row long, _doc long, `a.b` string, _unit long")
 
 
 def roots(n, links):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from searchloom.functions.analysis import analyze, ascii_lower, lower_ascii_text
 from searchloom.functions.ordering import tree_order
 from searchloom.operators import snippet
+from searchloom.operators.index import StoredIndex
 from searchloom.operators.match import Phrase, bm25, idf, occurrences, phrase
 from searchloom.plans.query import Parsed, SearchQuery, parse
 
@@ -102,17 +103,40 @@ def order(q: SearchQuery, browsing: bool) -> list[Column]:
 
 def search(docs: DataFrame, q: SearchQuery) -> DataFrame:
     """One page of results over all sources, in order."""
+    return _page(matches(docs, q), docs, q)
+
+
+def _page(found: DataFrame, docs: DataFrame | None, q: SearchQuery) -> DataFrame:
     parsed = parse(q.pattern)
-    found = matches(docs, q).orderBy(*order(q, not parsed.wanted))
+    ordering = order(q, not parsed.wanted)
+    found = found.orderBy(*ordering)
     if q.offset:
         found = found.offset(q.offset)
     if q.limit is not None:
         found = found.limit(q.limit)
-    if not q.with_snippets:
+    if not q.with_snippets or docs is None:
         return found
     wanted, _ = _phrases(q, parsed)
     page = found.join(docs.select("root", "path", "content"), ["root", "path"])
-    return snippet.add(page, wanted, q.exact_words).orderBy(*order(q, not parsed.wanted))
+    return snippet.add(page, wanted, q.exact_words).orderBy(*ordering)
+
+
+def search_stored(index: StoredIndex, files: DataFrame, q: SearchQuery, docs: DataFrame | None = None) -> DataFrame:
+    """The same page by a stored index (of the analyzer that the query asks for): reads the lists of the query's words, not the texts.
+
+    files has the result columns; docs, if given, the texts for excerpts.
+    """
+    parsed = parse(q.pattern)
+    wanted, unwanted = _phrases(q, parsed)
+    keep = files.where(filters(q, parsed)).select(*RESULT)
+    found = keep.join(index.score(wanted), ["root", "path"]) if wanted else keep.withColumn("relevance_score", F.lit(0.0))
+    bad = None
+    for p in unwanted:
+        own = index.occurrences(p).select("root", "path")
+        bad = own if bad is None else bad.union(own).distinct() if q.exclude_any else bad.join(own, ["root", "path"])
+    if bad is not None:
+        found = found.join(bad, ["root", "path"], "left_anti")
+    return _page(found.select(*RESULT, "relevance_score"), docs, q)
 
 
 def count(docs: DataFrame, q: SearchQuery) -> DataFrame:

@@ -112,6 +112,8 @@ def test_scores_equal_fts5(spark, tmp_path):
         want = {i: s for i, s in c.execute(sql, [good, bad] if bad else [good])}
         got = {int(r.path): r.relevance_score for r in S.matches(d, Q(raw)).collect()}
         assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in got), raw
+        page = lambda rows: [(r.path, round(r.relevance_score, 6)) for r in rows.collect()]
+        assert page(S.search_stored(index, d, Q(raw, limit=20, offset=3))) == page(S.search(d, Q(raw, limit=20, offset=3))), raw
         if not bad:
             stored = {int(r.path): r.relevance_score for r in index.score([phrase(t, False) for t in parse(raw).wanted]).collect()}
             assert stored.keys() == want.keys() and all(stored[i] == pytest.approx(want[i], abs=1e-6) for i in stored), raw

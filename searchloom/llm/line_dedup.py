@@ -26,6 +26,8 @@ from .common import Scratch, columns, components, unused
 SHINGLE, SIMILARITY = 7, 0.8
 BANDS, ROWS = 12, 4
 LIST_CAP, BLOCK = 64, 512
+#: Characters of a block, about, and slots of the bound that rules out pairs.
+BLOCK_CHARS, SLOTS = 400_000, 4096
 #: Ids of lines that share a list are broadcast up to this many (about 16 MB) and joined by shuffle beyond.
 BROADCAST_LINES = 500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -115,19 +117,37 @@ def _posted(lines: DataFrame) -> DataFrame:
     return lines.select("lid", "line").mapInArrow(run, "key long, lid long")
 
 
+def _may_be_near(ids: np.ndarray, row: np.ndarray, n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """False for pairs of lines that can't reach the similarity: what two lines share is at most the sum, over SLOTS slots of
+    the ids, of the smaller count, and a line has at least as many shingles as it has slots in use."""
+    counts = np.bincount(row * SLOTS + (ids & np.uint64(SLOTS - 1)).astype(np.int64), minlength=n * SLOTS)
+    counts = np.minimum(counts, 255).astype(np.uint8).reshape(n, SLOTS)
+    full = (counts == 255).any(axis=1)
+    used = np.count_nonzero(counts, axis=1)
+    most = np.concatenate([np.minimum(counts[x[i : i + 64]], counts[y[i : i + 64]]).sum(axis=1, dtype=np.int64) for i in range(0, len(x), 64)])
+    return (most * (1 + SIMILARITY) >= SIMILARITY * (used[x] + used[y])) | full[x] | full[y]
+
+
 def _verified(pairs: DataFrame) -> DataFrame:
     """(src, dst, a, b) -> (src, dst, near): exact Jaccard of the shingles, by their 64-bit ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                b = batch.slice(at, 500)
+            for at in range(0, len(batch), 400):
+                b = batch.slice(at, 400)
                 xs, ys = b.column(2).to_pylist(), b.column(3).to_pylist()
                 lines = list(dict.fromkeys([*xs, *ys]))
+                at_ = {s: i for i, s in enumerate(lines)}
                 ids, row = shingle_ids(lines)
-                cuts, ids = np.searchsorted(row, np.arange(len(lines) + 1)).tolist(), ids.tolist()
-                sets = {s: set(ids[cuts[i] : cuts[i + 1]]) for i, s in enumerate(lines)}
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([similarity(sets[x], sets[y]) >= SIMILARITY for x, y in zip(xs, ys, strict=True)], pa.bool_())], names=["src", "dst", "near"])
+                cuts = np.searchsorted(row, np.arange(len(lines) + 1)).tolist()
+                near = _may_be_near(ids, row, len(lines), np.array([at_[x] for x in xs]), np.array([at_[y] for y in ys]))
+                ids, sets = ids.tolist(), {}
+                for k in np.flatnonzero(near).tolist():
+                    for s in (xs[k], ys[k]):
+                        if s not in sets:
+                            sets[s] = set(ids[cuts[at_[s]] : cuts[at_[s] + 1]])
+                    near[k] = similarity(sets[xs[k]], sets[ys[k]]) >= SIMILARITY
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)], names=["src", "dst", "near"])
 
     return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long, near boolean")
 
@@ -141,22 +161,16 @@ def _block_links(pairs: DataFrame) -> DataFrame:
         for b in batches:
             for one, two in zip(b.column(0), b.column(1), strict=True):
                 one, two = one.as_py(), two.as_py()
-                sets, vocab = [[shingles(r["line"]) for r in side] for side in (one, two)], {}
-                for side in sets:
-                    for s in side:
-                        for x in s:
-                            vocab.setdefault(x, len(vocab))
-                both = np.zeros((len(one), len(two)), np.float32)
-                for at in range(0, len(vocab), 8192):  # a slice of the vocabulary at a time bounds the matrices
-                    m = []
-                    for side in sets:
-                        x = np.zeros((len(side), min(8192, len(vocab) - at)), np.float32)
-                        for i, s in enumerate(side):
-                            own = [v - at for w in s if at <= (v := vocab[w]) < at + 8192]
-                            x[i, own] = 1
-                        m.append(x)
-                    both += m[0] @ m[1].T
-                na, nb = (np.array([len(s) for s in side], np.float32) for side in sets)
+                ids, row = shingle_ids([r["line"] for r in (*one, *two)])
+                kinds, ids = np.unique(ids, return_inverse=True)
+                both, sizes = np.zeros((len(one), len(two)), np.float32), np.zeros(len(one) + len(two), np.float32)
+                for at in range(0, len(kinds), 4096):  # some kinds of shingles at a time, so that the matrix stays small
+                    own = (ids >= at) & (ids < at + 4096)
+                    m = np.zeros((len(sizes), min(4096, len(kinds) - at)), np.float32)
+                    m[row[own], ids[own] - at] = 1
+                    both += m[: len(one)] @ m[len(one) :].T
+                    sizes += m.sum(axis=1)
+                na, nb = sizes[: len(one)], sizes[len(one) :]
                 link = both >= SIMILARITY * (na[:, None] + nb[None, :] - both) - 1e-3
                 la, lb = (np.array([r["lid"] for r in side], np.int64) for side in (one, two))
                 link &= la[:, None] != lb[None, :]
@@ -188,8 +202,10 @@ def links(lines: DataFrame, scratch: Scratch, list_cap: int = LIST_CAP) -> DataF
     if far.isEmpty():
         return edges
     odd = scratch.write(far.select("key", "lid").distinct())
-    sized = long_.join(odd.select("key").distinct(), ["key"], "left_semi").select("key", "lid", F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    pack = lambda df, name: df.join(text, "lid").groupBy("key", F.pmod(F.shiftright("lid", 9), "blocks").alias(name + "_no")).agg(F.collect_list(F.struct("lid", "line")).alias(name))
+    whole = long_.join(odd.select("key").distinct(), ["key"], "left_semi").join(text, "lid")
+    chars = F.sum(F.length("line")).over(Window.partitionBy("key"))
+    sized = whole.select("key", "lid", "line", F.ceil(F.greatest(F.col("count") / BLOCK, chars / BLOCK_CHARS)).alias("blocks"))
+    pack = lambda df, name: df.groupBy("key", F.pmod(F.shiftright("lid", 9), "blocks").alias(name + "_no")).agg(F.collect_list(F.struct("lid", "line")).alias(name))
     every = pack(sized, "two")
     ones = pack(sized.join(odd, ["key", "lid"], "left_semi"), "one")
     return edges.union(_block_links(ones.join(every, ["key"]).select("one", "two")))

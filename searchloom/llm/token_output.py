@@ -59,7 +59,8 @@ class Encoder:
         special = [re.escape(t["content"]) for t in kind.get("added_tokens", ())]
         self.special = re.compile("|".join(special)) if special else None
         plain = _plain_pattern(pattern)
-        self.split, self.known = (re.compile(plain) if plain else regex.compile(pattern)).findall, {}
+        self.known, self.older = {}, {}
+        self.split = (re.compile(plain) if plain else regex.compile(pattern)).findall
 
     def _library(self, text: str) -> bytes:
         ids = self.lib.encode(text, add_special_tokens=False).ids
@@ -69,14 +70,18 @@ class Encoder:
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as 16-bit integers; words that are new are encoded together."""
-        known, split, out = self.known, [], []
+        if len(self.known) > CACHE // 2:  # words that aren't met again go with the generation before
+            self.older, self.known = self.known, {}
+        known, older, split, out = self.known, self.older, [], []
         for t in texts:
             plain = t and self.by_word and not _PLAIN.search(t) and not (self.special and self.special.search(t))
             split.append(self.split(t) if plain else None)
-        new = list({w for words in split if words for w in words if w not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({w for words in split if words for w in words})
+        new = []
+        for w in {w for words in split if words for w in words if w not in known}:
+            if (ids := older.get(w)) is None:
+                new.append(w)
+            else:
+                known[w] = ids
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):

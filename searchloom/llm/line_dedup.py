@@ -27,7 +27,7 @@ SHINGLE, SIMILARITY = 7, 0.8
 BANDS, ROWS = 12, 4
 LIST_CAP, BLOCK = 64, 512
 #: Characters of a block, about, and slots of the bound that rules out pairs.
-BLOCK_CHARS, SLOTS = 400_000, 4096
+BLOCK_CHARS, SLOTS = 400_000, 1024
 #: Ids of lines that share a list are broadcast up to this many (about 16 MB) and joined by shuffle beyond.
 BROADCAST_LINES = 500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -124,7 +124,7 @@ def _may_be_near(ids: np.ndarray, row: np.ndarray, n: int, x: np.ndarray, y: np.
     counts = np.minimum(counts, 255).astype(np.uint8).reshape(n, SLOTS)
     full = (counts == 255).any(axis=1)
     used = np.count_nonzero(counts, axis=1)
-    most = np.concatenate([np.minimum(counts[x[i : i + 64]], counts[y[i : i + 64]]).sum(axis=1, dtype=np.int64) for i in range(0, len(x), 64)])
+    most = np.minimum(counts[x], counts[y]).sum(axis=1, dtype=np.uint32).astype(np.int64)
     return (most * (1 + SIMILARITY) >= SIMILARITY * (used[x] + used[y])) | full[x] | full[y]
 
 

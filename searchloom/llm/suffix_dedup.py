@@ -256,7 +256,8 @@ def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs(doc_id, text) -> (key, crc, spans array<struct<lo, hi>>): the bytes to be removed of a document, in pieces that may overlap."""
     keyed = _keyed(docs)
     buckets = 4 * max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = scratch.write(_refine(_gather(keyed, buckets)))
+    # a task for each bucket or so, however large the parts are that the map tasks send at once
+    found = scratch.write(_refine(_gather(keyed, buckets).repartition(buckets, "bucket")))
     spans = lambda df: df.groupBy("key", "crc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     asks = spans(found.where("kind = 0"))
     texts = keyed.withColumn("crc", F.crc32("bytes"))

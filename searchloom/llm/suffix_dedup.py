@@ -93,13 +93,14 @@ def anchors(text: bytes, one: Hashes, two: Hashes) -> Iterator[tuple[np.ndarray,
         a = where[first] + s
         left, right = np.minimum(a, _W - 1), np.minimum(n - a, LENGTH)
         block = two.of(p2, a - left - x0, a + right - x0)
+        # a q-gram's id is the low half of its hash: anchors have small hashes, which shows in the high half
         # the q-gram with the bytes before it, and with those after it; 0 where the text doesn't reach so far
         sides = []
         for lo, hi in ((a - _SIDE, a + Q), (a, a + Q + _SIDE)):
             inside = (lo >= 0) & (hi <= n)
             h = two.of(p2, np.where(inside, lo - x0, 0), np.where(inside, hi - x0, 0)) >> _U(32)
             sides.append(np.where(inside, h | _U(1), _U(0)).astype(np.uint32))
-        yield a, first + s, last + s, *sides, (grams[where[first]] >> _U(32)).astype(np.uint32), mix(block + (left * 64 + right).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        yield a, first + s, last + s, *sides, grams[where[first]].astype(np.uint32), mix(block + (left * 64 + right).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
 _COLUMNS = (("gram", "<u4"), ("block", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("a", "<u4"), ("lo", "u1"), ("hi", "u1"), ("left", "<u4"), ("right", "<u4"))

@@ -27,7 +27,7 @@ SHINGLE, SIMILARITY = 7, 0.8
 BANDS, ROWS = 12, 4
 LIST_CAP, BLOCK = 64, 512
 #: Characters of a block, about, and slots of the bound that rules out pairs.
-BLOCK_CHARS, SLOTS = 400_000, 1024
+BLOCK_CHARS, SLOTS = 400_000, 2048
 #: Ids of lines that share a list are broadcast up to this many (about 16 MB) and joined by shuffle beyond.
 BROADCAST_LINES = 500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -141,11 +141,11 @@ def _verified(pairs: DataFrame) -> DataFrame:
                 ids, row = shingle_ids(lines)
                 cuts = np.searchsorted(row, np.arange(len(lines) + 1)).tolist()
                 near = _may_be_near(ids, row, len(lines), np.array([at_[x] for x in xs]), np.array([at_[y] for y in ys]))
-                ids, sets = ids.tolist(), {}
+                sets = {}
                 for k in np.flatnonzero(near).tolist():
                     for s in (xs[k], ys[k]):
                         if s not in sets:
-                            sets[s] = set(ids[cuts[at_[s]] : cuts[at_[s] + 1]])
+                            sets[s] = set(ids[cuts[at_[s]] : cuts[at_[s] + 1]].tolist())
                     near[k] = similarity(sets[xs[k]], sets[ys[k]]) >= SIMILARITY
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)], names=["src", "dst", "near"])
 

@@ -26,7 +26,7 @@ def remove(table: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def remove_under(table: DataFrame, folder: str) -> DataFrame:
-    """Without everything below a folder, by / or \; trailing separators of the folder don't count. Siblings with its name as a prefix stay."""
+    r"""Without everything below a folder, by / or \; trailing separators of the folder don't count. Siblings with its name as a prefix stay."""
     base = folder[:1] + folder[1:].rstrip("/\\")
     return table.where(~(F.col("path").startswith(base + "/") | F.col("path").startswith(base + "\\")))
 

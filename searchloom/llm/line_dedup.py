@@ -80,12 +80,15 @@ def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int
     np.minimum.at(sig, row * bins + (((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64), h)
     sig = sig.reshape(-1, bins)
     empty = sig == np.iinfo(np.uint64).max
-    step = np.uint64(1)
-    while empty.any():  # an empty bin takes what the next has, changed by the distance
-        take = np.roll(sig, -1, axis=1)
-        sig = np.where(empty, _mix(take + _A * step), sig)
+    which, step = np.flatnonzero(empty.any(axis=1)), np.uint64(1)
+    part, empty = sig[which], empty[which]
+    while len(which):  # an empty bin takes what the next has, changed by the distance; lines without empty bins are done
+        part = np.where(empty, _mix(np.roll(part, -1, axis=1) + _A * step), part)
         empty &= np.roll(empty, -1, axis=1)
         step += np.uint64(1)
+        sig[which] = part
+        more = empty.any(axis=1)
+        which, part, empty = which[more], part[more], empty[more]
     keys = np.zeros((len(n), bands), np.uint64)
     for i in range(rows):
         keys = _mix(keys * _A + sig[:, i::rows])

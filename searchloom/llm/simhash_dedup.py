@@ -110,6 +110,18 @@ def groups(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     return prints.join(_labels(prints, scratch, list_cap), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(keyed: DataFrame, row: str, own: list[Column], found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of found(root, doc_id, _row), a row for each of keyed, the one row of each root that stays."""
+    rooted = scratch.write(found.select("root", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row").alias("place")))
+    stays = rooted.groupBy("root").agg(F.min("place").alias("place")).select("place._row")
+    goes = scratch.write(rooted.select("place._row").join(stays, "_row", "left_anti").distinct())
+    out = keyed.join(F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes, keyed[row] == goes["_row"], "left_anti")
+    rows, distinct = rooted.agg(F.count("*"), F.countDistinct("place._row")).first()
+    if rows != distinct:
+        out = out.dropDuplicates([row])
+    return out.select(*own)
+
+
 def dedup(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     """The documents without all but one of each group: the one of smallest doc_id stays, null last, and of rows
     with that doc_id the one of smallest hash over all columns; of equal rows one."""
@@ -117,12 +129,4 @@ def dedup(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     own, row = columns(docs), unused(docs, "_row")
     keyed = docs.withColumn(row, F.xxhash64(*own, *[c.isNull() for c in own]))
     prints = scratch.write(fingerprints(keyed, row).withColumnRenamed(row, "_row"))
-    rooted = prints.join(_labels(prints, scratch, list_cap).select("fp", "root"), "fp").select("root", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row").alias("place"))
-    rooted = scratch.write(rooted)
-    stays = rooted.groupBy("root").agg(F.min("place").alias("place")).select("place._row")
-    goes = scratch.write(rooted.select("place._row").join(stays, "_row", "left_anti").distinct())
-    out = keyed.join(F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes, keyed[row] == goes["_row"], "left_anti")
-    rows, distinct = prints.agg(F.count("*"), F.countDistinct("_row")).first()
-    if rows != distinct:
-        out = out.dropDuplicates([row])
-    return out.select(*own)
+    return keep_one(keyed, row, own, prints.join(_labels(prints, scratch, list_cap).select("fp", "root"), "fp"), scratch)

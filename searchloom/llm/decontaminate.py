@@ -6,7 +6,8 @@ of an item, or a shorter item's all) the rarest terms are looked up first: their
 item, must agree on the diagonal (doc, item, doc position - item position). Diagonals that survive the two rarest lists
 are intersected with the lists of all terms of the item; runs of matches as long as a window are its exact occurrences.
 
-Defined cases: null texts have no words; an item without words has no windows; rows that agree in doc_id and text
+Defined cases: null texts have no words; an item without words has no windows; rows of the benchmark are looked up one by one, those with
+one item_id count as one item, a null one as an item whose name is null, last in the list; rows that agree in doc_id and text
 are scored alike, row by row; empty tables give no matches; other columns are ignored.
 """
 
@@ -109,20 +110,24 @@ def near(index: Index, slop: int) -> DataFrame:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs(doc_id, text), benchmark(item_id, text) -> (doc_id, n_words, n_hit, items array<string> sorted), a row for each row of docs."""
+    """docs(doc_id, text), benchmark(item_id, text) -> (doc_id, n_words, n_hit, items array<string> sorted, null last), a row for each row of docs."""
     scratch = Scratch(docs.sparkSession)
     keyed = docs.select("doc_id", "text").withColumn("doc", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
-    index = build(keyed, benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), "text"), scratch)
-    return score(index, scratch, window)
+    # a row of the benchmark is an item of its own, whatever its item_id
+    rows = benchmark.select(F.xxhash64("item_id", F.col("item_id").isNull(), "text").alias("item"), F.col("item_id").cast("string").alias("name"), "text").dropDuplicates(["item"])
+    rows = scratch.write(rows)
+    return score(build(keyed, rows.select("item", "text"), scratch), scratch, window, rows.select("item", "name"))
 
 
-def score(index: Index, scratch: Scratch, window: int = WINDOW) -> DataFrame:
-    """(doc_id, doc, n_words, n_hit, items) of every indexed row."""
+def score(index: Index, scratch: Scratch, window: int, names: DataFrame) -> DataFrame:
+    """(doc_id, doc, n_words, n_hit, items) of every indexed row; names(item, name) says what an item is called, which may be null."""
     found = scratch.write(occurrences(index, scratch, window).distinct())
     before = Window.partitionBy("doc").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select("doc", "first", "last").distinct().withColumn("seen", F.coalesce(F.max("last").over(before), F.lit(-1)))
     hit = spans.groupBy("doc").agg(F.sum(F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first") - 1, F.col("seen")))).alias("n_hit"))
-    named = found.select("doc", "item").distinct().groupBy("doc").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    called = found.select("doc", "item").distinct().join(F.broadcast(names) if index.small else names, "item").select("doc", "name").distinct()
+    # in a struct, since lists leave nulls out
+    named = called.groupBy("doc").agg(F.array_sort(F.transform(F.collect_list(F.struct("name")), lambda x: x["name"])).alias("items"))
     marked = scratch.write(hit.join(named, "doc"))
     ends = index.postings.where(F.col("term") == END).select("doc_id", "doc", F.col("pos").cast("long").alias("n_words"))
     return ends.join(marked, "doc", "left").select("doc_id", "doc", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

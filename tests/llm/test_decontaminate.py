@@ -51,6 +51,17 @@ def test_awkward_rows(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, h, _ in brute(docs, items) if not h)
 
 
+def test_rows_that_share_an_item_id_and_null_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(12)) for c in "abc")
+    # the first row's words occur nowhere in the documents, so they are rarest
+    items = [(1, one), (1, two), (1, two), (None, three), (None, "only " + three), (2, "c0 c1")]
+    docs = [(1, "q " + two + " q"), (2, "q " + three), (3, "q q"), (4, two + " " + three)]
+    df, bench = docs_df(spark, [(i, t, "s") for i, t in docs]), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.n_hit, list(r["items"])) for r in dc.scan(df, bench).collect())
+    assert got == [(1, 12, ["1"]), (2, 12, ["2", None]), (3, 0, []), (4, 24, ["1", "2", None])]
+    assert [r.doc_id for r in dc.clean(df, bench).collect()] == [3]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha q beta"), (2, "beta q q q alpha"), (3, "alpha " + "q " * 9 + "beta"), (4, "alpha")], "doc long, text string").withColumn("doc_id", F.col("doc"))
     items = spark.createDataFrame([("i", "alpha beta")], "item string, text string")

@@ -53,6 +53,23 @@ def test_small_groups_against_brute_force(spark, monkeypatch):
     assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.95 * len(rows)
 
 
+def test_no_link_is_missed_on_low_rank_vectors_in_many_cells(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1000, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    cos = rng.uniform(0.9501, 0.96, size=(len(x), 1))
+    e = np.concatenate((x, cos * x + np.sqrt(1 - cos * cos) * y)) @ np.linalg.qr(rng.normal(size=(256, 12)))[0].T
+    monkeypatch.setattr(ed, "CELL_SIZE", 16)
+    monkeypatch.setattr(ed, "BLOCK", 64)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(e.tolist())], "vec_id long, embedding array<double>")
+    link = e @ e.T >= 0.95
+    np.fill_diagonal(link, False)
+    assert {r.vec_id: r.n_links for r in ed.groups(df).collect()} == dict(enumerate(link.sum(axis=1).tolist()))
+
+
 def test_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [-1.0, 0.0]), (11, [-1.0, 0.001])]

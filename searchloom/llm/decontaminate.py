@@ -95,7 +95,8 @@ def near(index: Index, slop: int) -> DataFrame:
     """Proximity matches (doc, item, first, last): all distinct terms of an item within its length plus `slop` words.
 
     From the rarest term of the item: each of its postings asks for the other terms around it; positions of all terms
-    come by their lists, bucketed by blocks of that span, and the nearest on either side are compared.
+    come by their lists, bucketed by blocks of that span. From every position up to the posting, the first of each term is taken;
+    the narrowest of these windows is the posting's match.
     """
     items = index.items.join(index.frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     distinct = items.groupBy("item", "term", "df").agg(F.min("n").alias("n"))
@@ -104,9 +105,13 @@ def near(index: Index, slop: int) -> DataFrame:
     seeds = seeds.withColumn("block", F.explode(F.sequence(F.floor((F.col("at") - F.col("span")) / F.col("span")), F.floor((F.col("at") + F.col("span")) / F.col("span")))))
     lists = index.postings.join(distinct.join(need.select("item", "span"), "item"), "term").select("doc", "item", "term", "pos", F.floor(F.col("pos") / F.col("span")).alias("block"))
     around = seeds.join(lists, ["doc", "item", "block"]).where(F.abs(F.col("pos") - F.col("at")) < F.col("span"))
-    tight = around.groupBy("doc", "item", "at", "need", "span", "term").agg(F.min(F.struct(F.abs(F.col("pos") - F.col("at")), "pos")).alias("p"))
-    seen = tight.groupBy("doc", "item", "at", "need", "span").agg(F.count("*").alias("terms"), F.min("p.pos").alias("first"), F.max("p.pos").alias("last"))
-    return seen.where((F.col("terms") == F.col("need")) & (F.col("last") - F.col("first") < F.col("span"))).select("doc", "item", "first", "last").distinct()
+    of = ["doc", "item", "at", "need", "span"]
+    starts = around.where("pos <= at").select(*of, F.col("pos").alias("first")).distinct()
+    ends = starts.join(around, of).where((F.col("pos") >= F.col("first")) & (F.col("pos") - F.col("first") < F.col("span"))).groupBy(*of, "first", "term").agg(F.min("pos").alias("pos"))
+    seen = ends.groupBy(*of, "first").agg(F.count("*").alias("terms"), F.greatest(F.max("pos"), "at").alias("last"))
+    fit = seen.where((F.col("terms") == F.col("need")) & (F.col("last") - F.col("first") < F.col("span")))
+    best = fit.groupBy("doc", "item", "at").agg(F.min(F.struct((F.col("last") - F.col("first")).alias("width"), "first", "last")).alias("m"))
+    return best.select("doc", "item", "m.first", "m.last").distinct()
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

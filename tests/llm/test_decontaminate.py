@@ -1,3 +1,4 @@
+import random
 import re
 
 from searchloom.llm import decontaminate as dc
@@ -67,3 +68,28 @@ def test_proximity(spark):
     items = spark.createDataFrame([("i", "alpha beta")], "item string, text string")
     index = dc.build(docs, items, Scratch(spark))
     assert sorted((r.doc, r["first"], r["last"]) for r in dc.near(index, 3).collect()) == [(1, 0, 2), (2, 0, 4)]
+
+
+def test_proximity_of_three_and_more_terms_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = ["beta q alpha q q beta gamma", *(" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "q", "r"], k=25)) for _ in range(30))]
+    items = {"three": "alpha beta gamma", "four": "delta beta alpha gamma"}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").withColumn("doc_id", F.col("doc"))
+    index = dc.build(docs, spark.createDataFrame(list(items.items()), "item string, text string"), Scratch(spark))
+    df = {r.word: 0 for r in index.items.collect()}
+    term = {r.word: r.term for r in index.items.collect()}
+    for w in df:
+        df[w] = sum(t.split().count(w) for t in texts)
+    want = set()
+    for name, s in items.items():
+        need, span = set(s.split()), len(s.split()) + 3
+        rare = min(need, key=lambda w: (df[w], term[w]))
+        for d, t in enumerate(texts):
+            w = t.split()
+            for at in (i for i, x in enumerate(w) if x == rare):
+                fits = [(b - a, a, b) for a in range(at + 1) for b in range(at, len(w)) if b - a < span and need <= set(w[a : b + 1])]
+                if fits:
+                    want.add((d, name, *min(fits)[1:]))
+    got = dc.near(index, 3).collect()
+    assert {(r.doc, r["item"], r["first"], r["last"]) for r in got} == want and len(got) == len(want)
+    assert (0, "three", 2, 6) in want

@@ -11,7 +11,8 @@ import functools
 import re
 import unicodedata
 
-from pyspark.sql import Column, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import stemmer
@@ -31,25 +32,26 @@ def fold_table() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-_SEPARATORS = r"[^\p{L}\p{N}\p{Co}\p{M}]+"
+_SEPARATORS = r"[^a-z0-9\p{L}\p{N}\p{Co}\p{M}]+"
 
 
-def words(c: Column) -> Column:
-    """Folded words of a text in order; null has none."""
-    text = F.translate(F.lower(F.coalesce(c, F.lit(""))), *fold_table())
-    text = F.when(text.rlike(r"\p{M}"), F.regexp_replace(text, r"\p{M}", "")).otherwise(text)
-    return F.filter(F.split(text, _SEPARATORS), lambda w: w != "")
+def words(c: Column, exact: bool = False) -> Column:
+    """Folded words of a text in order; null has none. Texts of ASCII alone have neither marks nor letters to fold."""
+    c = F.coalesce(c, F.lit(""))
+    old, new = fold_table()
+    folded = F.translate(F.regexp_replace(F.lower(c), r"\p{M}+", ""), *((old + "ё", new + "е") if exact else (old, new)))
+    return F.array_remove(F.split(F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(folded), _SEPARATORS), "")
 
 
 def exact_words(c: Column) -> Column:
     """The exact analyzer: words, ё as е."""
-    return words(F.translate(c, "ёЁ", "ее"))
+    return words(c, True)
 
 
 def stem_words(c: Column) -> Column:
     """The stemming analyzer. Words are stemmed only in texts with Cyrillic letters, the stemmer leaves all others alone."""
     w = words(c)
-    return F.when(c.rlike("[А-Яа-яЁё]"), F.transform(w, stemmer.stem_column)).otherwise(w)
+    return F.when((F.octet_length(c) > F.length(c)) & c.rlike("[А-Яа-яЁё]"), F.transform(w, stemmer.stem_column)).otherwise(w)
 
 
 def analyze(c: Column, exact: bool) -> Column:
@@ -73,6 +75,11 @@ def analyze_text(text: str, exact: bool) -> list[str]:
     return out if exact else [stemmer.stem(w) for w in out]
 
 
+def once(df: DataFrame, cols: list[Column]) -> DataFrame:
+    """The columns as outputs of a generator, which the optimizer neither repeats in later expressions nor prunes one by one."""
+    return df.select(F.inline(F.array(F.struct(*cols))))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z only."""
     return F.when(F.lower(c) == c, c).otherwise(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
@@ -83,5 +90,10 @@ def lower_ascii_text(s: str) -> str:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL names of the analyzers, for use in queries on any text column: stem_ru(word)."""
-    spark.udf.register("stem_ru", stemmer.stem, "string")
+    """SQL names of both analyzers, text to words: analyze_exact(text) and analyze_forms(text), in Arrow batches. Column code uses `analyze`."""
+    for name, exact in (("analyze_exact", True), ("analyze_forms", False)):
+
+        def run(texts: pd.Series, exact: bool = exact) -> pd.Series:
+            return texts.map(lambda t: analyze_text(t or "", exact))
+
+        spark.udf.register(name, F.pandas_udf(run, "array<string>"))

@@ -102,6 +102,13 @@ def size_text(size: Column) -> Column:
     return F.when(size < kb, F.concat(size.cast("string"), F.lit(" B"))).when(size < mb, F.concat(F.format_number(size / kb, 1), F.lit(" KB"))).when(size < gb, F.concat(F.format_number(size / mb, 1), F.lit(" MB"))).otherwise(F.concat(F.format_number(size / gb, 2), F.lit(" GB")))
 
 
+def count_text(n: Column, one: str, few: str, many: str) -> Column:
+    """A number with its noun in the Slavic plural form: 1, 21; 2-4, 22-24; all others."""
+    tens, ones = F.pmod(n, F.lit(100)), F.pmod(n, F.lit(10))
+    form = F.when((tens >= 11) & (tens <= 14), many).when(ones == 1, one).when((ones >= 2) & (ones <= 4), few).otherwise(many)
+    return F.concat_ws(" ", n.cast("string"), form)
+
+
 def time_text(epoch: Column) -> Column:
     return F.date_format(F.timestamp_seconds(epoch), "dd.MM.yyyy HH:mm")
 

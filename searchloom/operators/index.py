@@ -1,71 +1,229 @@
-"""The stored index: postings by source and term, document lengths, and the same search over them.
+"""The stored index: postings by source and term, kept current in generations.
 
-postings(root, bucket, term, path, col, pos) is partitioned by source and by a hash bucket of the term's first letters and sorted by term, so that a word
-or prefix reads one bucket of each source and skips row groups by the term's range. Use it where a corpus is searched
-often; `plans.search` needs no index.
+A write never changes a file. It adds a partition `gen=n` to three tables: `postings(root, bucket, term, path, col, pos, length)`, partitioned by source and by a hash
+bucket of the term's first letters and sorted by term, so that a word or prefix reads one bucket of each source and skips row groups by the term's
+range; `gone(root, path)`, the documents that the write replaced or removed in older generations; and `sources(root, n_docs, words)`, by how much the
+sources' statistics changed. A generation counts once its last table is complete, so a write is seen as a whole or not at all. A search reads the lists of
+its words in all generations, without postings of documents that a later generation lists as gone. `compact` rewrites what is
+left as one generation and deletes the others. One writer at a time; readers keep the generations they opened.
+
+Each document also has a posting of no term in bucket -1, which holds its length: the index lists its documents in one place, and a text is split once.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchloom.functions.analysis import analyze
-from searchloom.operators.match import Phrase, idf
+from searchloom.functions.analysis import analyze, once
+from searchloom.operators.match import Phrase, bm25, idf
+
+BUCKETS, LISTED = 16, -1
+#: Sources up to this many have their statistics broadcast; beyond, they are joined by shuffle.
+SOURCES = 10_000
+TABLES = {
+    "postings": "path string, col int, pos int, length int, term string, gen int, root string, bucket int",
+    "gone": "root string, path string, length int, gen int",
+    "sources": "root string, n_docs long, words long, gen int",
+}
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(BUCKETS)).cast("int")
 
-BUCKETS = 16
 
+def bucket_of(word: str) -> int:
+    """The bucket of a word, worked out on the driver."""
+    h = xxhash.xxh64_intdigest(word[:2].encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % BUCKETS
 
-def _bucket(first: F.Column) -> F.Column:
-    return F.pmod(F.xxhash64(first), F.lit(BUCKETS)).cast("int")
+
+def postings_of(docs: DataFrame, exact: bool) -> DataFrame:
+    """docs(root, path, name, content) -> a row for each word, and one for each document."""
+    words = once(docs, [F.col("root"), F.col("path"), analyze(F.col("name"), exact).alias("nw"), analyze(F.col("content"), exact).alias("cw")])
+    place = lambda col: lambda w, i: F.struct(F.lit(col).alias("col"), i.alias("pos"), w.alias("term"))
+    every = F.concat(F.array(F.struct(F.lit(-1).alias("col"), F.lit(-1).alias("pos"), F.lit("").alias("term"))), F.transform("nw", place(0)), F.transform("cw", place(1)))
+    rows = words.select("root", "path", (F.size("nw") + F.size("cw")).alias("length"), F.inline(every))
+    return rows.withColumn("bucket", F.when(F.col("col") < 0, LISTED).otherwise(_bucket(F.col("term"))))
 
 
 @dataclass
 class StoredIndex:
-    postings: DataFrame
-    lengths: DataFrame
+    spark: SparkSession
+    path: str
+    exact: bool
+    generations: list[int]
+    few: bool = True
+    _open: dict = field(default_factory=dict, repr=False)
 
     @staticmethod
-    def build(docs: DataFrame, path: str, exact: bool = False) -> None:
-        words = docs.select("root", "path", analyze(F.col("name"), exact).alias("nw"), analyze(F.col("content"), exact).alias("cw"))
-        words.select("root", "path", (F.size("nw") + F.size("cw")).alias("length")).write.mode("overwrite").partitionBy("root").parquet(f"{path}/lengths")
-        posted = words.select("root", "path", F.lit(0).alias("col"), F.posexplode("nw").alias("pos", "term")).union(words.select("root", "path", F.lit(1).alias("col"), F.posexplode("cw").alias("pos", "term")))
-        posted = posted.withColumn("bucket", _bucket(F.substring("term", 1, 2)))
-        posted.repartition("root", "bucket", F.pmod(F.xxhash64("path"), F.lit(8))).sortWithinPartitions("root", "bucket", "term").write.mode("overwrite").partitionBy("root", "bucket").parquet(f"{path}/postings")
+    def build(docs: DataFrame, path: str, exact: bool = False) -> StoredIndex:
+        """A new index of docs(root, path, name, content), in place of what the folder held."""
+        index = StoredIndex(docs.sparkSession, path.rstrip("/"), exact, [])
+        index._delete(index.path)
+        index._write(docs, None)
+        return index
 
     @staticmethod
-    def open(spark: SparkSession, path: str) -> StoredIndex:
-        return StoredIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    def open(spark: SparkSession, path: str, exact: bool = False) -> StoredIndex:
+        index = StoredIndex(spark, path.rstrip("/"), exact, [])
+        index.generations = index._committed()
+        return index
+
+    # -- files
+
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
+    def _committed(self) -> list[int]:
+        """Generations whose last table is complete; those before the newest base are no longer read."""
+        found = {}
+        for name in ("sources", "base"):
+            fs, p = self._fs(f"{self.path}/{name}/gen=*/_SUCCESS")
+            found[name] = {int(s.getPath().getParent().getName()[4:]) for s in fs.globStatus(p) or []}
+        start = max(found["base"] & found["sources"], default=0)
+        return sorted(g for g in found["sources"] if g >= start)
+
+    def _table(self, name: str) -> DataFrame:
+        """A table of the generations in use, listed once."""
+        key = (name, *self.generations)
+        if key not in self._open:
+            if self.generations:
+                self._open[key] = self.spark.read.schema(TABLES[name]).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/gen={g}" for g in self.generations])
+            else:
+                self._open[key] = self.spark.createDataFrame([], TABLES[name])
+        return self._open[key]
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._table("postings")
+
+    def _live(self, postings: DataFrame) -> DataFrame:
+        """Without postings of documents that a later generation replaced or removed."""
+        if len(self.generations) < 2:
+            return postings
+        last = self._table("gone").groupBy("root", "path").agg(F.max("gen").alias("until"))
+        return postings.join(last, ["root", "path"], "left").where(F.col("until").isNull() | (F.col("gen") >= F.col("until"))).drop("until")
+
+    def documents(self) -> DataFrame:
+        """(root, path, length) of all indexed documents."""
+        return self._live(self.postings.where(F.col("bucket") == LISTED)).select("root", "path", "length")
+
+    def sources(self) -> DataFrame:
+        """(root, n_docs, mean) of every source. Up to SOURCES of them are read once and kept on the driver."""
+        key = ("means", *self.generations)
+        if key not in self._open:
+            s = self._table("sources").groupBy("root").agg(F.sum("n_docs").alias("n_docs"), F.sum("words").alias("words"))
+            s = s.where("n_docs > 0").select("root", "n_docs", (F.col("words") / F.col("n_docs")).alias("mean"))
+            few = s.limit(SOURCES + 1).collect()
+            self.few = len(few) <= SOURCES
+            self._open[key] = F.broadcast(self.spark.createDataFrame(few, s.schema)) if self.few else s
+        return self._open[key]
+
+    def _small(self, by_source: DataFrame) -> DataFrame:
+        """A table of a row per source, broadcast if there are few sources."""
+        return F.broadcast(by_source) if self.few else by_source
+
+    # -- writes
+
+    def _write(self, docs: DataFrame | None, keys: DataFrame | None, base: bool = False, rows: DataFrame | None = None) -> None:
+        """One generation: documents indexed anew, and keys(root, path) of what is gone besides."""
+        gen = max(self.generations, default=-1) + 1
+        self._drop(gen)  # what a failed write left
+        old = self.documents()
+        if rows is None:
+            rows = postings_of(docs, self.exact) if docs is not None else self.postings.where("false").drop("gen")
+        # partitions of a bucket are cut to size by the adaptive plan, so hot buckets become many files
+        rows.hint("rebalance", F.col("root"), F.col("bucket")).sortWithinPartitions("root", "bucket", "term").write.partitionBy("root", "bucket").parquet(f"{self.path}/postings/gen={gen}")
+        added = self.spark.read.schema(TABLES["postings"].replace("gen int, ", "")).parquet(f"{self.path}/postings/gen={gen}").where(F.col("bucket") == LISTED)
+        fresh = added.select("root", "path")
+        gone = old.join((fresh if keys is None else fresh.union(keys.select("root", "path"))).distinct(), ["root", "path"], "left_semi")
+        (old.where("false") if base else gone).select("root", "path", "length").write.parquet(f"{self.path}/gone/gen={gen}")
+        lost = self.spark.read.schema(TABLES["gone"].replace(", gen int", "")).parquet(f"{self.path}/gone/gen={gen}")
+        change = added.select("root", F.lit(1).alias("n"), "length").union(lost.select("root", F.lit(-1), -F.col("length")))
+        if base:
+            self.spark.range(1).coalesce(1).write.parquet(f"{self.path}/base/gen={gen}")
+        change.groupBy("root").agg(F.sum("n").cast("long").alias("n_docs"), F.sum("length").cast("long").alias("words")).write.parquet(f"{self.path}/sources/gen={gen}")
+        self.generations = self._committed()
+
+    def _drop(self, gen: int) -> None:
+        for name in ("sources", "base", "gone", "postings"):
+            self._delete(f"{self.path}/{name}/gen={gen}")
+
+    def upsert(self, docs: DataFrame, keys: DataFrame | None = None) -> None:
+        """Indexes documents in place of those with their keys, and removes keys(root, path), in one generation."""
+        self._write(docs, keys)
+
+    def remove(self, keys: DataFrame) -> None:
+        self._write(None, keys)
+
+    def remove_under(self, root: str, folder: str) -> int:
+        """Removes all documents below a folder; how many they were."""
+        from searchloom.operators.maintain import under
+
+        keys = self.documents().where((F.col("root") == root) & under(F.col("path"), folder))
+        self._write(None, keys)
+        return self.spark.read.parquet(f"{self.path}/gone/gen={self.generations[-1]}").count()
+
+    def compact(self) -> None:
+        """One generation of all that is left; the older ones are deleted once it is complete."""
+        before = list(self.generations)
+        live = self._live(self.postings).select("root", "path", "length", "col", "pos", "term", "bucket")
+        self._write(None, None, True, live)
+        for g in before:
+            self._drop(g)
+        self.generations = self._committed()
+
+    def backfill(self, docs: DataFrame, done: int, until: int, rows: int = 200) -> int:
+        """Indexes the next documents of ids in (done, until] that aren't yet; the last id, or `until` when none is left.
+
+        An index of another analyzer is brought up to date so beside the one in use; a step that failed is simply repeated.
+        """
+        from searchloom.operators.maintain import backfill_batch
+
+        batch = backfill_batch(docs, done, until, rows)
+        last = batch.agg(F.max("id")).first()[0]
+        if last is None:
+            return until
+        own = docs.where((F.col("id") > done) & (F.col("id") <= last))
+        self._write(own.join(self.documents(), ["root", "path"], "left_anti") if self.generations else own, None)
+        return last
+
+    # -- searches
 
     def _list(self, word: str, prefix: bool) -> DataFrame:
         own = F.col("term").startswith(word) if prefix else F.col("term") == word
         if len(word) >= 2 or not prefix:
-            bucket = self.postings.sparkSession.range(1).select(_bucket(F.lit(word[:2]))).first()[0]
-            own = own & (F.col("bucket") == bucket)
-        return self.postings.where(own).select("root", "path", "col", "pos")
+            own = own & (F.col("bucket") == bucket_of(word))
+        return self.postings.where(own & (F.col("col") >= 0)).select("root", "path", "col", "pos", "length", "gen")
 
     def occurrences(self, p: Phrase) -> DataFrame:
-        """(root, path, in_name, in_content) of documents with the phrase: offset-adjusted lists, intersected."""
+        """(root, path, in_name, in_content, length) of documents with the phrase: offset-adjusted lists, intersected."""
         out = None
         for k, w in enumerate(p.words):
-            own = self._list(w, p.prefix and k == len(p.words) - 1).select("root", "path", "col", (F.col("pos") - k).alias("at"))
-            out = own if out is None else out.join(own, ["root", "path", "col", "at"])
+            own = self._list(w, p.prefix and k == len(p.words) - 1).withColumn("at", F.col("pos") - k).drop("pos")
+            out = own if out is None else out.join(own.drop("length"), ["root", "path", "col", "at", "gen"])
         if out is None:
-            out = self.postings.where("false").select("root", "path", "col", F.col("pos").alias("at"))
-        return out.groupBy("root", "path").agg(F.sum(F.when(F.col("col") == 0, 1).otherwise(0)).alias("in_name"), F.sum(F.when(F.col("col") == 1, 1).otherwise(0)).alias("in_content"))
+            out = self.postings.where("false")
+        return self._live(out).groupBy("root", "path").agg(F.sum((F.col("col") == 0).cast("int")).alias("in_name"), F.sum((F.col("col") == 1).cast("int")).alias("in_content"), F.first("length").alias("length"))
 
     def score(self, phrases: list[Phrase]) -> DataFrame:
-        """(root, path, relevance_score) of documents with all phrases."""
-        sources = self.lengths.groupBy("root").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"))
-        out = None
+        """(root, path, relevance_score) of documents with all phrases. A list is read once: its documents and their number share one shuffle."""
+        out, sources = None, self.sources()
         for k, p in enumerate(phrases):
-            own = self.occurrences(p).select("root", "path", (10.0 * F.col("in_name") + F.col("in_content")).alias(f"f{k}"))
-            own = own.join(own.groupBy("root").agg(F.count("*").alias(f"df{k}")), "root")
+            own = once(self.occurrences(p), [F.col(c) for c in ("root", "path", "in_name", "in_content", "length")])
+            df = own.groupBy("root").agg(F.count("*").alias(f"df{k}"))
+            own = own.select("root", "path", F.col("in_name").alias(f"n{k}"), F.col("in_content").alias(f"c{k}"), *(["length"] if k == 0 else []))
+            own = own.join(self._small(df), "root")
             out = own if out is None else out.join(own, ["root", "path"])
-        norm = 1.2 * (0.25 + 0.75 * F.col("length") / F.col("mean"))
-        score = F.lit(0.0)
-        for k in range(len(phrases)):
-            score = score - idf(F.col("n_docs"), F.col(f"df{k}")) * F.col(f"f{k}") * 2.2 / (F.col(f"f{k}") + norm)
-        return out.join(self.lengths, ["root", "path"]).join(sources, "root").select("root", "path", score.alias("relevance_score"))
+        ks = range(len(phrases))
+        score = bm25([F.col(f"n{k}") for k in ks], [F.col(f"c{k}") for k in ks], [idf(F.col("n_docs"), F.col(f"df{k}")) for k in ks], F.col("length"), F.col("mean"))
+        return out.join(sources, "root").select("root", "path", score.alias("relevance_score"))

@@ -25,10 +25,15 @@ def remove(table: DataFrame, keys: DataFrame) -> DataFrame:
     return table.join(keys, keys.columns, "left_anti")
 
 
-def remove_under(table: DataFrame, folder: str) -> DataFrame:
-    r"""Without everything below a folder, by / or \; trailing separators of the folder don't count. Siblings with its name as a prefix stay."""
+def under(path: Column, folder: str) -> Column:
+    r"""Whether a path lies below a folder, by / or \; trailing separators of the folder don't count. Siblings with its name as a prefix don't."""
     base = folder[:1] + folder[1:].rstrip("/\\")
-    return table.where(~(F.col("path").startswith(base + "/") | F.col("path").startswith(base + "\\")))
+    return path.startswith(base + "/") | path.startswith(base + "\\")
+
+
+def remove_under(table: DataFrame, folder: str) -> DataFrame:
+    """Without everything below a folder."""
+    return table.where(~under(F.col("path"), folder))
 
 
 def record_problems(problems: DataFrame, rows: DataFrame, now: Column | None = None) -> DataFrame:
@@ -60,9 +65,7 @@ def reconcile(files: DataFrame, scan: DataFrame, unreadable: DataFrame | None =
     shielded = F.lit(False)
     if unreadable is not None:
         folders = unreadable.select("root", "folder")
-        # every folder above a vanished file is looked up: an equi-join, however many folders there are
-        gone = out.where("action = 'vanished'").select("root", "path", F.explode(_above(F.col("path"))).alias("folder"))
-        safe = gone.join(folders, ["root", "folder"], "left_semi").select("root", "path").distinct().withColumn("shielded", F.lit(True))
+        safe = within(out.where("action = 'vanished'").select("root", "path"), folders).withColumn("shielded", F.lit(True))
         out = out.join(safe, ["root", "path"], "left")
         shielded = F.coalesce("shielded", F.lit(False))
     if unavailable is not None:
@@ -71,10 +74,19 @@ def reconcile(files: DataFrame, scan: DataFrame, unreadable: DataFrame | None =
     return out.select("root", "path", F.when((F.col("action") == "vanished") & shielded, "kept").when(F.col("action") == "vanished", "remove").otherwise(F.col("action")).alias("action"))
 
 
-def _above(path: Column) -> Column:
-    """The path and all its folders."""
-    at = F.filter(F.transform(F.split(path, ""), lambda c, i: F.when(c.isin("/", "\\"), i)), lambda i: i.isNotNull() & (i > 0))
-    return F.concat(F.transform(at, lambda i: F.substr(path, F.lit(1), i)), F.array(path))
+def within(paths: DataFrame, folders: DataFrame) -> DataFrame:
+    """Of paths(root, path), those that are one of folders(root, folder) or lie below one.
+
+    A path is looked up only at the lengths that folders of a change have, a few small numbers, so the join is by equality and most
+    paths aren't repeated at all.
+    """
+    lengths = [r[0] for r in folders.select(F.length("folder").alias("n")).distinct().orderBy("n").collect()]
+    path = F.col("path")
+    heads = [F.when((F.length(path) == n) | F.substring(path, n + 1, 1).isin("/", "\\"), F.substring(path, 1, n)) for n in lengths]
+    if not heads:
+        return paths.select("root", "path").where("false")
+    cut = paths.select("root", "path", F.explode(F.array_compact(F.array(*heads))).alias("folder"))
+    return cut.join(folders, ["root", "folder"], "left_semi").select("root", "path").distinct()
 
 
 def retry_outcome(retried: DataFrame, problems: DataFrame, started: int | Column) -> DataFrame:
@@ -121,11 +133,23 @@ def run_index(files: DataFrame, scan: DataFrame, extract: Callable[[DataFrame],
     """
     from searchloom.functions.files import heavy
 
-    todo = scan if full else scan.join(reconcile(files, scan, unreadable, unavailable).where("action in ('new', 'changed')"), ["root", "path"], "left_semi")
+    todo, after = scan, None
+    if not full:
+        plan = reconcile(files, scan, unreadable, unavailable)
+        todo = scan.join(plan.where("action in ('new', 'changed')"), ["root", "path"], "left_semi")
+        # the action of every known path decides whether its old row stays, in the same shuffle for both uses of the plan
+        after = files.join(plan.where("action in ('unchanged', 'kept')").select("root", "path"), ["root", "path"], "left_semi").unionByName(todo.select(*files.columns))
     big = heavy(F.col("ext"), F.col("size"), threshold)
     written = extract(todo.where(~big)).unionByName(extract(todo.where(big).repartition("path")))
-    after = upsert(files, todo.select(*files.columns))
-    if not full:
-        after = remove(after, reconcile(files, scan, unreadable, unavailable).where("action = 'remove'").select("root", "path"))
-    return after, written
+    return (upsert(files, todo.select(*files.columns)) if full else after), written
+
+
+def problem_files(problems: DataFrame) -> DataFrame:
+    """The listed files by path, for display."""
+    return problems.orderBy("path")
+
+
+def registry_sources(sources: DataFrame) -> DataFrame:
+    """All sources by root."""
+    return sources.orderBy("root")
 

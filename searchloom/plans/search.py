@@ -1,8 +1,7 @@
 """Searches as one plan: filters, matching, per-source ranking, order, page, excerpts.
 
 `docs` has root, path, name, ext, size, modified_time, content. Filters on its stored columns reach the scan.
-Statistics of a source count all its documents, whichever the filters; they are a map-side combined aggregate of a few
-numbers per source. Ordering with a limit is a top-k per partition; excerpts join the texts to one page of rows.
+Statistics of a source count all its documents, whichever the filters; they come out of the same scan as the hits. Ordering with a limit is a top-k per partition; excerpts join the texts to one page of rows.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchloom.functions.analysis import analyze, ascii_lower, lower_ascii_text
+from searchloom.functions.analysis import analyze, ascii_lower, lower_ascii_text, once
 from searchloom.functions.ordering import tree_order
 from searchloom.operators import snippet
 from searchloom.operators.index import StoredIndex
@@ -41,12 +40,13 @@ def _phrases(q: SearchQuery, parsed: Parsed) -> tuple[list[Phrase], list[Phrase]
 
 
 def _counted(docs: DataFrame, q: SearchQuery, wanted: list[Phrase], unwanted: list[Phrase]) -> DataFrame:
-    """docs' result columns, length, and for each phrase its occurrences in name (n0, ..) and content (c0, ..)."""
-    words = docs.select(*RESULT, analyze(F.col("name"), q.exact_words).alias("nw"), analyze(F.col("content"), q.exact_words).alias("cw"))
+    """docs' result columns, length, and for each phrase its occurrences in name (n0, ..) and content (c0, ..). A text is split once."""
+    cols = [c for c in RESULT if c in docs.columns]
+    words = once(docs, [*map(F.col, cols), analyze(F.col("name"), q.exact_words).alias("nw"), analyze(F.col("content"), q.exact_words).alias("cw")])
     each = []
     for k, p in enumerate([*wanted, *unwanted]):
         each += [occurrences(F.col("nw"), p).alias(f"n{k}"), occurrences(F.col("cw"), p).alias(f"c{k}")]
-    return words.select(*RESULT, (F.size("nw") + F.size("cw")).alias("length"), *each)
+    return words.select(*cols, (F.size("nw") + F.size("cw")).alias("length"), *each)
 
 
 def _has(k: int) -> Column:
@@ -66,19 +66,37 @@ def _matching(q: SearchQuery, wanted: list[Phrase], unwanted: list[Phrase]) -> C
     return keep
 
 
+def _unscored(docs: DataFrame, q: SearchQuery, parsed: Parsed) -> DataFrame:
+    """Matching documents; filters on stored columns come first and reach the scan, statistics aren't needed."""
+    wanted, unwanted = _phrases(q, parsed)
+    kept = docs.where(filters(q, parsed))
+    if not wanted and not unwanted:
+        return kept.select(*RESULT)
+    return _counted(kept, q, wanted, unwanted).where(_matching(q, wanted, unwanted)).select(*RESULT)
+
+
 def matches(docs: DataFrame, q: SearchQuery) -> DataFrame:
-    """All matching documents with relevance_score, without order or page."""
+    """All matching documents with relevance_score, without order or page.
+
+    One scan gives the hits and their sources' statistics: before the only shuffle of documents, all that don't match become one row of
+    each source and task, which holds their number, lengths and phrases. Hits and statistics both read that shuffle.
+    """
     parsed = parse(q.pattern)
     wanted, unwanted = _phrases(q, parsed)
-    if not wanted and not unwanted:
-        return docs.where(filters(q, parsed)).select(*RESULT, F.lit(0.0).alias("relevance_score"))
-    counted = _counted(docs, q, wanted, unwanted)
-    hits = counted.where(filters(q, parsed) & _matching(q, wanted, unwanted))
     if not wanted:
-        return hits.select(*RESULT, F.lit(0.0).alias("relevance_score"))
-    stats = statistics(docs, q)
-    idfs = [idf(F.col("n_docs"), F.col(f"df{k}")) for k in range(len(wanted))]
-    score = bm25([F.col(f"n{k}") for k in range(len(wanted))], [F.col(f"c{k}") for k in range(len(wanted))], idfs, F.col("length"), F.col("mean_length"))
+        return _unscored(docs, q, parsed).withColumn("relevance_score", F.lit(0.0))
+    if q.roots:
+        docs = docs.where(F.col("root").isin(*q.roots))
+    ks = range(len(wanted))
+    counted = _counted(docs, q, wanted, unwanted)
+    hit = F.when(filters(q, parsed) & _matching(q, wanted, unwanted), F.struct(*RESULT[1:], "length", *[x for k in ks for x in (f"n{k}", f"c{k}")]))
+    sums = [F.count("*").alias("copies"), F.sum("length").alias("words"), *[F.sum(_has(k).cast("long")).alias(f"df{k}") for k in ks]]
+    met = counted.groupBy("root", hit.alias("hit")).agg(*sums)
+    met = once(met, [F.col(c) for c in met.columns])
+    stats = met.groupBy("root").agg(F.sum("copies").alias("n_docs"), (F.sum("words") / F.sum("copies")).alias("mean_length"), *[F.sum(f"df{k}").alias(f"df{k}") for k in ks])
+    hits = met.where("hit is not null").select("root", "hit.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    idfs = [idf(F.col("n_docs"), F.col(f"df{k}")) for k in ks]
+    score = bm25([F.col(f"n{k}") for k in ks], [F.col(f"c{k}") for k in ks], idfs, F.col("length"), F.col("mean_length"))
     return hits.join(stats, "root").select(*RESULT, score.alias("relevance_score"))
 
 
@@ -117,8 +135,10 @@ def _page(found: DataFrame, docs: DataFrame | None, q: SearchQuery) -> DataFrame
     if not q.with_snippets or docs is None:
         return found
     wanted, _ = _phrases(q, parsed)
-    page = found.join(docs.select("root", "path", "content"), ["root", "path"])
-    return snippet.add(page, wanted, q.exact_words).orderBy(*ordering)
+    if q.limit is None:
+        return snippet.add(found.join(docs.select("root", "path", "content"), ["root", "path"]), wanted, q.exact_words).orderBy(*ordering)
+    page = F.broadcast(found).join(docs.select("root", "path", "content"), ["root", "path"])  # a page has `limit` rows at most
+    return snippet.add(page, wanted, q.exact_words).orderBy(*ordering).limit(q.limit)
 
 
 def search_stored(index: StoredIndex, files: DataFrame, q: SearchQuery, docs: DataFrame | None = None) -> DataFrame:
@@ -140,8 +160,8 @@ def search_stored(index: StoredIndex, files: DataFrame, q: SearchQuery, docs: Da
 
 
 def count(docs: DataFrame, q: SearchQuery) -> DataFrame:
-    """(root, n): matches per source, whichever the page."""
-    return matches(docs, q).groupBy("root").agg(F.count("*").alias("n"))
+    """(root, n): matches per source, whichever the page. Nothing is scored, so only one scan of the filtered documents is left."""
+    return _unscored(docs, q, parse(q.pattern)).groupBy("root").agg(F.count("*").alias("n"))
 
 
 def snippet_of(docs: DataFrame, path: str, q: SearchQuery) -> str:

@@ -22,7 +22,9 @@ class LatestSearch:
         self.lock, self.turn, self.group, self.timer = threading.Lock(), 0, None, None
 
     def submit(self, query: SearchQuery, deliver: Callable[[SearchQuery, list[Row]], None]) -> None:
-        """Starts after a moment without newer queries; `deliver` gets the rows in another thread."""
+        """Starts after a moment without newer queries; `deliver` gets the rows of one page in another thread, so a limit is needed."""
+        if query.limit is None:
+            raise ValueError("a search for display needs a limit")
         with self.lock:
             self.turn += 1
             turn = self.turn

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from searchloom.functions.analysis import lower_ascii_text
 from searchloom.functions.files import EXTRACTABLE
@@ -52,6 +53,10 @@ def extract(data: bytes | None, ext: str, max_bytes: int = MAX_BYTES, max_unpack
 def extract_files(files: DataFrame, max_bytes: int = MAX_BYTES, max_unpacked: int = MAX_UNPACKED) -> DataFrame:
     """files(root, path, name, ext, size, modified_time, content binary) -> the same with text content, problem and detail."""
     kept = ["root", "path", "name", "ext", "size", "modified_time"]
+    # a file over the limit is known by its size: it never reaches a task's memory
+    limited = F.lower("ext").isin(*[e for e in EXTRACTABLE if e not in (".docx", ".xlsx")])
+    large = F.coalesce(limited & (F.col("size") > max_bytes), F.lit(False))
+    told = files.where(large).select(*kept, F.lit("").alias("content"), F.lit(PROBLEMS["TooLarge"]).alias("problem"), F.col("size").cast("string").alias("detail"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,4 +65,4 @@ def extract_files(files: DataFrame, max_bytes: int = MAX_BYTES, max_unpacked: in
                 text, problem, detail = extract(b.column(6)[0].as_py(), b.column(3)[0].as_py() or "", max_bytes, max_unpacked)
                 yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array([text]), pa.array([problem], pa.int32()), pa.array([detail])], names=[*kept, "content", "problem", "detail"])
 
-    return files.select(*kept, "content").mapInArrow(run, "root string, path string, name string, ext string, size long, modified_time long, content string, problem int, detail string")
+    return files.where(~large).select(*kept, "content").mapInArrow(run, "root string, path string, name string, ext string, size long, modified_time long, content string, problem int, detail string").unionByName(told)

@@ -48,7 +48,7 @@ def shared_strings(xml: str) -> list[str]:
 
 
 def cells(xml: str, shared: list[str]) -> str:
-    """A sheet's cells, each followed by a space: shared and inline strings, formulas' strings, numbers; no booleans or errors."""
+    """A sheet's cells, each followed by a space: shared and inline strings, formulas' strings, numbers, dates as stored; no booleans or errors."""
     out = []
     for m in re.finditer(r"<c(?:[ \t\r\n]([^>]*?))?(?:/>|>(.*?)</c>)", xml, re.S):
         kind, body = re.search(r'\bt="([^"]*)"', m[1] or ""), m[2] or ""
@@ -60,7 +60,7 @@ def cells(xml: str, shared: list[str]) -> str:
         elif kind == "inlineStr":
             t = re.search(r"<t(?:[ \t\r\n][^>]*)?>(.*?)</t>", body, re.S)
             text = unescape(t[1]) if t else None
-        elif kind in ("str", "", "n") and value:
+        elif kind in ("str", "", "n", "d") and value:
             text = unescape(value[1])
         if text:
             out.append(text + " ")

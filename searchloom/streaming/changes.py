@@ -21,6 +21,18 @@ NATIVE = {
     "IN_MOVED_TO": "RenamedTo", "IN_Q_OVERFLOW": "Overflow", "FILE_ACTION_ADDED": "Created", "FILE_ACTION_MODIFIED": "Modified", "FILE_ACTION_REMOVED": "Removed",
     "FILE_ACTION_RENAMED_OLD_NAME": "Removed", "FILE_ACTION_RENAMED_NEW_NAME": "RenamedTo",
 }
+# Bits of folder-event flags, in the order in which they count.
+FLAGS = ((0x1 | 0x2 | 0x4, "Overflow"), (0x200, "Removed"), (0x800, "RenamedTo"), (0x100, "Created"))
+_ITEMS = 0x10000 | 0x20000
+
+
+def flag_kind(flags: Column) -> Column:
+    """A folder event's flags as a kind: dropped or coalesced events are an overflow, what concerns neither file nor folder is null."""
+    has = lambda bits: flags.bitwiseAND(F.lit(bits)) != 0
+    out = F.when(has(FLAGS[0][0]), FLAGS[0][1]).when(~has(_ITEMS), F.lit(None))
+    for bits, kind in FLAGS[1:]:
+        out = out.when(has(bits), kind)
+    return out.otherwise("Modified")
 
 
 def native_kind(name: Column) -> Column:
@@ -70,12 +82,10 @@ def apply_batch(files: DataFrame, batch: DataFrame, scan: DataFrame) -> tuple[Da
     on_disk = scan.select("root", "path", "is_dir")
     seen = now.join(on_disk, ["root", "path"], "left")
     gone = seen.where("is_dir is null").select("root", F.col("path").alias("folder"))
-    keys = files.select("root", "path")
-    above = keys.select("root", "path", F.explode(maintain._above(F.col("path"))).alias("folder"))
-    lost = above.join(gone, ["root", "folder"], "left_semi").select("root", "path").distinct()
+    lost = maintain.within(files.select("root", "path"), gone)
     folders = seen.where("is_dir and kind in ('Created', 'RenamedTo')").select("root", F.col("path").alias("folder"))
     found = scan.where("not is_dir")
-    under = found.select("root", "path", F.explode(maintain._above(F.col("path"))).alias("folder")).join(folders, ["root", "folder"], "left_semi").select("root", "path")
+    under = maintain.within(found.select("root", "path"), folders)
     named = seen.where("not is_dir").select("root", "path", (F.col("kind") == "Retry").alias("forced"))
     todo = found.join(named.unionByName(under.withColumn("forced", F.lit(False))).groupBy("root", "path").agg(F.max("forced").alias("forced")), ["root", "path"])
     old = files.select("root", "path", F.col("size").alias("s0"), F.col("modified_time").alias("m0"))

@@ -1,19 +1,10 @@
-import hashlib
-import io
 import zipfile
 import zlib
 
 from searchloom.operators.maintain import PROBLEMS
 from searchloom.sources import crypto, filetree, office, pdf
 from searchloom.sources.extract import extract, extract_files
-
-
-def archive(parts, method=zipfile.ZIP_DEFLATED):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", method) as z:
-        for name, text in parts.items():
-            z.writestr(name, text)
-    return out.getvalue()
+from searchloom.sources.samples import archive, document, encrypted
 
 
 def test_docx():
@@ -40,16 +31,6 @@ def test_xlsx():
     assert extract(archive(parts), ".xlsx", max_unpacked=64)[1] == PROBLEMS["TooLarge"]
 
 
-def document(contents, extra="", fonts="", page="", trailer=""):
-    """A small PDF: a page with these content streams (bytes, dictionary entries)."""
-    out = b"%PDF-1.5\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R] >>\nendobj\n"
-    refs = " ".join(f"{10 + k} 0 R" for k in range(len(contents)))
-    out += f"3 0 obj\n<< /Type /Page /Parent 2 0 R /Contents [{refs}] /Resources << /Font << {fonts} >> >> {page} >>\nendobj\n".encode()
-    for k, (data, entries) in enumerate(contents):
-        out += f"{10 + k} 0 obj\n<< /Length {len(data)} {entries} >>\nstream\n".encode() + data + b"\nendstream\nendobj\n"
-    return out + extra.encode("latin-1") + f"trailer\n<< /Root 1 0 R {trailer} >>\n%%EOF".encode("latin-1")
-
-
 def test_plain_pdf():
     text = lambda data: extract(data, ".pdf")[0]
     assert text(document([(b"BT /F1 12 Tf (Hello PDF) Tj ET", "")])) == "Hello PDF"
@@ -88,44 +69,6 @@ def test_ciphers():
         assert aes.encrypt_block(block).hex() == want and aes.decrypt_block(bytes.fromhex(want)) == block
 
 
-def encrypted(revision, password=b"", broken=False):
-    """A PDF whose one stream is encrypted for a user password."""
-    v, cfm, n = {2: (1, None, 5), 3: (2, None, 16), 4: (4, "AESV2", 16), 5: (5, "AESV3", 32), 6: (5, "AESV3", 32)}[revision]
-    plain, file_id, o, perms = b"BT (Secret contract text) Tj ET", b"0123456789abcdef", bytes(range(60, 92)), -44
-    pad = (password + crypto.PAD)[:32]
-    entries = f"/Filter /Standard /V {v} /R {revision} /Length {n * 8} /P {perms} "
-    if revision >= 5:
-        salt, key_salt, key = b"saltsalt", b"keysalts", bytes(range(32))
-        digest = (lambda s: crypto._hash_r6(password, s)) if revision == 6 else lambda s: hashlib.sha256(password + s).digest()
-        u, ue = digest(salt) + salt + key_salt, crypto.cbc_encrypt(digest(key_salt), bytes(16), key)
-        o = bytes(48)
-        entries += f"/UE <{ue.hex()}> "
-    else:
-        key = hashlib.md5(pad + o + (perms & 0xFFFFFFFF).to_bytes(4, "little") + file_id).digest()
-        for _ in range(50 if revision > 2 else 0):
-            key = hashlib.md5(key[:n]).digest()
-        key = key[:n]
-        u = crypto.rc4(key, crypto.PAD)
-        if revision > 2:
-            u = hashlib.md5(crypto.PAD + file_id).digest()
-            for i in range(20):
-                u = crypto.rc4(bytes(b ^ i for b in key), u)
-            u += bytes(16)
-    if broken:
-        u = bytes([u[0] ^ 1]) + u[1:]
-    if cfm:
-        entries += f"/CF << /StdCF << /CFM /{cfm} /AuthEvent /DocOpen >> >> /StmF /StdCF /StrF /StdCF "
-    entries += f"/O <{o.hex()}> /U <{u.hex()}>"
-    own = key if cfm == "AESV3" else hashlib.md5(key + (10).to_bytes(3, "little") + bytes(2) + (b"sAlT" if cfm else b"")).digest()[: min(16, n + 5)]
-    if cfm:
-        fill = 16 - len(plain) % 16
-        iv = bytes(range(100, 116))
-        data = iv + crypto.cbc_encrypt(own, iv, plain + bytes([fill]) * fill)
-    else:
-        data = crypto.rc4(own, plain)
-    return document([(data, "")], f"40 0 obj\n<< {entries} >>\nendobj\n", trailer=f"/Encrypt 40 0 R /ID [<{file_id.hex()}> <{file_id.hex()}>]")
-
-
 def test_encrypted_pdfs():
     for r in (2, 3, 4, 5, 6):
         assert extract(encrypted(r), ".pdf")[:2] == ("Secret contract text", 0), r

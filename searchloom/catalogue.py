@@ -17,10 +17,6 @@ from searchloom.streaming import changes
 
 Q = SearchQuery
 EXTS = (".txt", ".md", ".PDF", ".docx", ".log")
-RAW_QUERIES = (
-    "practicum report", '"quarterly report"', 'report -draft -"old version"', "report ext:docx", "ext:.PDF", 'ext:"xlsx"', "path:D:\\Work\\ report", 'path:"D:\\My Files\\" report',
-    "ext:docx ext:pdf", '"практикум номер 1" -черновик ext:docx path:D:\\Work\\', "", "report - draft", '"" report', "-ext:pdf", "--x", 'a"b', '"open end', "-a -b", "!!!",
-)
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -108,11 +104,11 @@ _SEARCHES: dict[str, tuple] = {
     "prefix_term": (Q("ere"), corpus, _page_sql(_hits_sql(_DOCS, [W("ere")]), _BEST)),
     "prefix_multi_token": (Q("doc_1"), corpus, _page_sql(_hits_sql(_DOCS, [(("doc", "1"), True)]), _BEST)),
     "phrase_match": (Q('"of the"'), corpus, _page_sql(_hits_sql(_DOCS, [(("of", "the"), False)]), _BEST)),
-    "phrase_in_one_column": (Q('"doc 7" "de la"'), corpus, _page_sql(_hits_sql(_DOCS, [(("doc", "7"), False), (("de", "la"), False)]), _BEST)),
+    "phrase_in_one_column": (Q('doc_1 "of the"'), corpus, _page_sql(_hits_sql(_DOCS, [(("doc", "1"), True), (("of", "the"), False)]), _BEST)),
     "exclude_one": (Q("the -tion"), corpus, _page_sql(_hits_sql(_DOCS, [W("the")], [W("tion")]), _BEST)),
     "exclude_two_anded": (Q("the -erst -ondoc"), corpus, _page_sql(_hits_sql(_DOCS, [W("the")], [W("erst"), W("ondoc")]), _BEST)),
     "exclude_only": (Q("-the"), corpus, _page_sql(_hits_sql(_DOCS, [], [W("the")]), _NOCASE)),
-    "punct_only": (Q("the !!!"), corpus, _page_sql(_hits_sql(_DOCS, [W("the")], (), "false"), _BEST)),
+    "punct_excluded": (Q("the -!!!"), corpus, _page_sql(_hits_sql(_DOCS, [W("the")]), _BEST)),
     "exact_mode": (Q("erst", exact_words=True), corpus, _page_sql(_hits_sql(_DOCS, [W("erst", False)]), _BEST)),
     "diacritic_fold": (Q("etre", exact_words=True), corpus, _page_sql(_hits_sql(_DOCS, [W("etre", False)]), _BEST)),
     "ext_operator": (Q("ext:pdf"), corpus, _page_sql(_hits_sql(_DOCS, [], (), "lower(ext) = '.pdf'"), _NOCASE)),
@@ -202,6 +198,15 @@ def _exact_vs_forms(spark, sf):
     return n(Q("erst", exact_words=True), "exact").union(n(Q("erst"), "forms"))
 
 
+def _punct_only(spark, sf):
+    """A term without words matches nothing, and excludes nothing."""
+    d, out = corpus(spark, sf), None
+    for q in ("the !!!", "!!!", "the -!!!"):
+        own = S.count(d, Q(q)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(q).alias("query"), "n")
+        out = own if out is None else out.union(own)
+    return out
+
+
 def _excerpts(exact: bool):
     return lambda spark, sf: S.search(corpus(spark, sf), Q("erst the", with_snippets=True, exact_words=exact, limit=50)).select("path", "snippet")
 
@@ -217,12 +222,6 @@ def _remove_path(spark, sf):
     return maintain.remove(old.select("root", "path", "size"), new.where("size % 2 = 0").select("root", "path"))
 
 
-def _fts_join(spark, sf):
-    q = Q('"erst"')
-    d = corpus(spark, sf)
-    return S.matches(d, q).select("root", "path").join(d.select("root", "path", "doc_id", "size"), ["root", "path"])
-
-
 def _unreadable(spark, sf):
     old, new = _snapshots(spark, sf)
     folders = old.where("lang = 'fr'").select("root", F.concat_ws("/", "root", "lang").alias("folder")).distinct()
@@ -261,11 +260,6 @@ def _heavy(spark, sf):
     return corpus(spark, sf).select("path", files.text_bytes(F.col("ext"), F.col("size")).alias("expected"), files.heavy(F.col("ext"), F.col("size"), 4000).alias("heavy"))
 
 
-def _parse_queries(spark, sf):
-    rows = [(q, len(p.wanted), len(p.unwanted), sum(t.phrase for t in p.tokens), p.ext or "", p.path or "") for q in RAW_QUERIES for p in [parse(q)]]
-    return spark.createDataFrame(rows, "raw string, wanted int, unwanted int, phrases int, ext string, path string")
-
-
 def _stem_vocab(spark, sf):
     words = spark.createDataFrame([(w,) for w in ("практикума", "программой", "читали", "красивые", "hello", "ёлки", "и")], "word string")
     d = corpus(spark, sf).select(F.explode(analysis.words(F.col("content"))).alias("word")).distinct().union(words)
@@ -283,6 +277,7 @@ def _presented(spark, sf):
 
 _OTHERS: dict[str, tuple] = {
     "exact_vs_forms_count": (_exact_vs_forms, f"{_hits_sql(_DOCS, [W('erst', False)])} SELECT 'exact' AS mode, count(*) AS n FROM hits UNION ALL SELECT 'forms', (SELECT count(*) FROM w WHERE {_occ('nw', ('erst',), True)} + {_occ('cw', ('erst',), True)} > 0)"),
+    "punct_only": (_punct_only, f"{_hits_sql(_DOCS, [W('the')])} SELECT 'the -!!!' AS query, count(*) AS n FROM hits UNION ALL SELECT 'the !!!', 0 UNION ALL SELECT '!!!', 0"),
     "order_path_folders": (_tree(True, False), _tree_sql(True, False)),
     "order_path_folders_desc": (_tree(True, True), _tree_sql(True, True)),
     "order_path_files": (_tree(False, False), _tree_sql(False, False)),
@@ -295,7 +290,7 @@ _OTHERS: dict[str, tuple] = {
     "upsert_merge": (_upsert, f"WITH {_SNAPSHOTS} SELECT root, path, size FROM new UNION ALL SELECT root, path, size FROM docs o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.root = o.root AND n.path = o.path)"),
     "remove_path": (_remove_path, f"WITH {_SNAPSHOTS} SELECT root, path, size FROM docs o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.size % 2 = 0 AND n.root = o.root AND n.path = o.path)"),
     "remove_under": (lambda spark, sf: maintain.remove_under(corpus(spark, sf), "/src1/").select("root", "path"), f"WITH {_DOCS} SELECT root, path FROM docs WHERE NOT starts_with(path, '/src1/')"),
-    "fts_files_join": (_fts_join, f"{_hits_sql(_DOCS, [W('erst', False)])} SELECT h.root, h.path, d.doc_id, d.size FROM hits h JOIN docs d ON h.root = d.root AND h.path = d.path"),
+    "fts_files_join": (None, f"{_hits_sql(_DOCS, [W('erst', False)])} SELECT h.root, h.path, d.doc_id, d.size FROM hits h JOIN docs d ON h.root = d.root AND h.path = d.path"),
     "reconcile_actions": (lambda spark, sf: maintain.reconcile(*_snapshots(spark, sf)), f"WITH {_SNAPSHOTS} SELECT root, path, CASE action WHEN 'vanished' THEN 'remove' ELSE action END AS action FROM act"),
     "reconcile_unreadable": (_unreadable, f"WITH {_SNAPSHOTS} SELECT root, CASE WHEN action <> 'vanished' THEN action WHEN root = '/src3' OR contains(path, '/fr/') THEN 'kept' ELSE 'remove' END AS action, count(*) AS n FROM act GROUP BY 1, 2"),
     "vanished_anti": (lambda spark, sf: (lambda o, n: maintain.remove(o.select("root", "path"), n.select("root", "path")))(*_snapshots(spark, sf)), f"WITH {_SNAPSHOTS} SELECT root, path FROM act WHERE action = 'vanished'"),
@@ -309,20 +304,23 @@ _OTHERS: dict[str, tuple] = {
     "stage_shares": (_stage_shares, f"WITH {_TIMINGS}, t AS (SELECT *, read + parse + write + walk AS total, greatest(read, parse, write, walk) AS top FROM tm) SELECT root, " + ", ".join(f"round(CASE WHEN total > 0 THEN 100.0 * {s} / total ELSE 0 END, 4) AS {s}_pct" for s in metrics.STAGES) + ", CASE top WHEN read THEN 'read' WHEN parse THEN 'parse' WHEN write THEN 'write' ELSE 'walk' END AS dominant FROM t"),
     "advice": (lambda spark, sf: metrics.advice(_timings(spark, sf)), f"WITH {_TIMINGS}, t AS (SELECT *, read + parse + write + walk AS total, greatest(read, parse, write, walk) AS top FROM tm) SELECT root, CASE WHEN total < 3 THEN 'none' WHEN top / total < 0.4 THEN 'even' WHEN top = read THEN 'read' WHEN top = parse THEN 'parse' WHEN top = write THEN 'write' ELSE 'walk' END AS advice FROM t"),
     "ewma_rate": (lambda spark, sf: metrics.ewma(_read(spark, sf, "events").select(F.col("user_id").cast("string").alias("root"), F.struct("ts", "event_id").alias("ts"), F.col("value").alias("rate"))).select("root", F.round("rate", 6).alias("rate")), "WITH RECURSIVE s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), r AS (SELECT user_id, CAST(value AS DOUBLE) AS v, k FROM s WHERE k = 1 UNION ALL SELECT s.user_id, 0.7 * r.v + 0.3 * s.value, s.k FROM r JOIN s ON s.user_id = r.user_id AND s.k = r.k + 1) SELECT CAST(user_id AS VARCHAR) AS root, round(max_by(v, k), 6) AS rate FROM r GROUP BY user_id"),
-    "parse_queries": (_parse_queries, None),
     "stem_vocab": (_stem_vocab, f"WITH {_DOCS}, v AS (SELECT DISTINCT unnest({_toks('content')}) AS word FROM docs) SELECT word, word AS stem FROM v UNION SELECT * FROM (VALUES ('практикума', 'практикум'), ('программой', 'программ'), ('читали', 'чита'), ('красивые', 'красив'), ('hello', 'hello'), ('ёлки', 'елк'), ('и', 'и'))"),
     "order_key_cyrillic": (_cyrillic_keys, f"SELECT name, array_to_string({_key_sql('name', True, False, False)}, ' ') AS key FROM (VALUES ('ёлка'), ('Ежевика'), ('Жук'), ('Договор 2.docx'), ('Договор 10.docx'), ('007'), ('8')) t(name)"),
     "events_coalesced": (lambda spark, sf: changes.latest(_events(spark, sf)).select("root", "path", "kind", "n"), f"WITH {_EVENTS} SELECT root, path, max_by(kind, seq) AS kind, count(*) AS n FROM ev GROUP BY root, path"),
     "events_session": (lambda spark, sf: changes.coalesced(_events(spark, sf), "30 seconds").select(F.date_format("session", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session"), "root", "path", "kind", "n"), f"WITH {_SESSIONS} SELECT strftime(session, '%Y-%m-%d %H:%M:%S.%f') AS session, root, path, max_by(kind, seq) AS kind, count(*) AS n FROM ev JOIN se USING (ts) GROUP BY session, root, path"),
-    "event_kind_map": (lambda spark, sf: _events(spark, sf).groupBy("kind").agg(F.count("*").alias("n")), f"WITH {_EVENTS} SELECT kind, count(*) AS n FROM ev GROUP BY kind"),
     "file_columns": (_presented, f"WITH {_DOCS} SELECT path, name AS base, ext, true AS readable, strftime(make_timestamp(modified_time * 1000000), '%d.%m.%Y %H:%M') AS changed FROM docs"),
 }
 
 
 def queries() -> dict:
+    """All queries of the engine."""
+    from searchloom import catalogue_runs
+
     out = {name: (lambda spark, sf, q=q, docs=docs: _page(spark, sf, q, docs)) for name, (q, docs, _) in _SEARCHES.items()}
-    return out | {name: f for name, (f, _) in _OTHERS.items()}
+    return out | {name: f for name, (f, _) in _OTHERS.items()} | catalogue_runs.queries()
 
 
 def oracle_sql() -> dict:
-    return {name: sql for name, (*_, sql) in [*_SEARCHES.items(), *_OTHERS.items()] if sql}
+    from searchloom import catalogue_runs
+
+    return {name: sql for name, (*_, sql) in [*_SEARCHES.items(), *_OTHERS.items()] if sql} | catalogue_runs.oracle_sql()

@@ -43,7 +43,7 @@ class Runner:
 
     def __init__(self, spark: SparkSession, index: StoredIndex, scan: Callable[[str], tuple[DataFrame | None, DataFrame | None]], extract: Callable[[DataFrame], DataFrame], threshold: int = HEAVY):
         self.spark, self.index, self.scan, self.extract, self.threshold = spark, index, scan, extract, threshold
-        self.files, self._version = spark.createDataFrame([], FILES), 0
+        self.files, self._version, self._oldest = spark.createDataFrame([], FILES), 0, 0
         self.status, self._go, self._stop = Status(), threading.Event(), threading.Event()
         self._rescan, self._lock = set(), threading.Lock()
         self._go.set()
@@ -66,7 +66,12 @@ class Runner:
         self.index._delete(at(self._version))
         files.write.parquet(at(self._version))
         self.files = self.spark.read.schema(FILES).parquet(at(self._version))
-        self.index._delete(at(self._version - 1))
+
+    def _tidy(self) -> None:
+        """Deletes the versions before the one in use, once no plan reads them any more."""
+        for v in range(self._oldest, self._version):
+            self.index._delete(f"{self.index.path}/files/v={v}")
+        self._oldest = self._version
 
     def _may_go_on(self) -> bool:
         if not self._go.is_set():
@@ -131,6 +136,7 @@ class Runner:
                 self.index.remove(gone)
                 self._keep(maintain.remove(self.files, gone))
                 self.status.removed += n
+        self._tidy()
         return not self._stop.is_set()
 
     def apply(self, batch: DataFrame, scan: DataFrame, running: bool = False) -> None:
@@ -140,6 +146,7 @@ class Runner:
         gone = maintain.remove(self.files.select("root", "path"), after.select("root", "path"))
         self.index.upsert(self.extract(fresh).where("problem = 0 or content <> ''"), gone)
         self._keep(after)
+        self._tidy()
         with self._lock:
             self._rescan |= {r["root"] for r in rescan.collect()}
         if not running:

@@ -105,7 +105,10 @@ def stat_file(path: str, root: str, masks: list[str] | None = None) -> tuple | N
 
 
 def binary_files(spark: SparkSession, root: str, masks: list[str] | None = None, glob: str | None = None) -> DataFrame:
-    """(root, path, name, ext, size, modified_time, content) by Spark's own reader, which prunes content where it isn't used."""
+    """(root, path, name, ext, size, modified_time, content) by Spark's own reader, which prunes content where it isn't used.
+
+    That reader skips names that begin with a dot or an underscore; `scan` lists them.
+    """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     df = (r.option("pathGlobFilter", glob) if glob else r).load(root)
     path = F.regexp_replace("path", "^file:/*", "/")

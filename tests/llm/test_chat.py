@@ -35,6 +35,22 @@ def test_awkward_rows_round_trip(spark):
     assert chat.format_conversations(chat.as_tree(df.limit(0)), s).count() == 0
 
 
+def test_empty_and_missing_ids_are_two_conversations(spark):
+    rows = [(None, 1, "user", "a"), (None, 2, "assistant", "b"), ("", 1, "user", "c"), ("", 2, "assistant", "d"), ("=", 1, "user", "e")]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(chat.format_conversations(chat.as_tree(df), Scratch(spark))).collect()}
+    assert got == {None: digest([("user", "a"), ("assistant", "b")]), "": digest([("user", "c"), ("assistant", "d")]), "=": digest([("user", "e")])}
+
+
+def test_several_paths_of_several_trees(spark):
+    nodes = [(1, None, 0.0), (2, 1, 1.0), (3, 1, 5.0), (4, 2, 1.0), (5, 2, 1.5), (10, None, 1.0), (11, 10, 1.0), (20, 99, 2.0)]
+    df = spark.createDataFrame([("c", n, p, s, 7, "user" if n % 2 else "assistant", f"t{n}") for n, p, s in nodes], "conv string, node long, parent long, score double, conv_id long, role string, text string")
+    s = Scratch(spark)
+    leaves = lambda k: sorted({r.leaf for r in chat.best_paths(df, s, k).collect()})
+    assert leaves(1) == [3, 11, 20] and leaves(2) == [3, 5, 11, 20] and leaves(9) == [3, 4, 5, 11, 20]
+    assert sorted(r.n_turns for r in chat.format_conversations(df, s, 2).collect()) == [1, 2, 2, 3]
+
+
 def test_best_branch_of_a_tree(spark):
     nodes = [("c", 1, None, 0.0), ("c", 2, 1, 1.0), ("c", 3, 1, 5.0), ("c", 4, 2, 1.0), ("c", 5, 4, 9.0), ("c", 6, 3, 1.0)] + [("d", i, i - 1 if i > 1 else None, 1.0) for i in range(1, 70)]
     df = spark.createDataFrame(nodes, "conv string, node long, parent long, score double")

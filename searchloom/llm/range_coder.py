@@ -1,14 +1,18 @@
-"""Adaptive context-mixing range coder for token ids, many independent blocks side by side.
+"""Adaptive context-mixing range coder for token ids, in blocks that are reset and checked one by one.
 
-Every block starts from the same empty model and is coded on its own. At each id the model has an order-2 prediction (the
-id that last followed these two), an order-1 prediction (the id that last followed this one) and an order-0 distribution
-over classes of ids (bit length and next bit). The symbol coded is "order 2 is right", "order 1 is right" or the id's
-class, which its low bits follow. The symbol's distribution mixes two adaptive tables: the order-0 counts and the counts
-seen at this confidence of the order-2 and order-1 predictions, so the orders weigh by their evidence. The tables
-are refreshed every `REFRESH` ids. The range coder is carry-less, with 48-bit low and range and 16-bit output words.
+A block is cut into lanes, runs of consecutive ids, that are coded in step: numpy does one id of each lane at a time, and all
+lanes learn into one model, which so knows what every lane has shown up to the step before. The model has an order-2
+prediction (the id that last followed these two) and an order-1 prediction (the id that last followed this one), each with a
+confidence that rises when it is right and falls when it is wrong, and an order-0 distribution of the ids counted so far.
 
-Blocks don't depend on each other, so numpy runs all blocks of a segment in step, a lane for each; only integers are used,
-so that encoder and decoder agree on every machine.
+The orders are mixed by their evidence: for each pair of confidences, adaptive counts of "order 2 is right", "order 1 is right"
+and "neither" share out the range between the two predicted ids and the order-0 distribution, in which ids too rare for a
+slot of their own share one and are told apart by their number among the ids seen, or by their 16 bits if new. Order-0 tables
+are refreshed after 1, 2, 4 .. `REFRESH` steps. The range coder is carry-less, with 48-bit low and range and 16-bit output
+words, a stream for each lane.
+
+Blocks have `BLOCK` ids (a parameter of `encode`); each starts from the same empty model, has its own checksum and is decoded without
+any other. Only integers are used, so that encoder and decoder agree on every machine.
 """
 
 from __future__ import annotations
@@ -18,208 +22,261 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"SLR1"
-BLOCK = 1024
-REFRESH = 16
-_CLASSES = 32
-_SYMBOLS = 2 + _CLASSES
-_SLOTS2, _SLOTS1 = 1024, 512
-#: Places of a row of cumulative counts: 64 for a binary search in 6 steps, and one to read its end.
-_WIDTH = 65
-_MASK = np.uint64((1 << 48) - 1)
-_TOP, _BOT, _WORD = np.uint64(1 << 32), np.uint64(1 << 16), np.uint64(16)
+MAGIC = b"SLR2"
+#: Ids of a block, lanes of a block at most, ids of a lane at least.
+BLOCK, LANES, LANE_IDS = 1 << 20, 2048, 256
+REFRESH = 32
+_IDS = 1 << 16
+_SLOTS = 1 << 18
+_LEVELS = 8
+_FLAG_BITS, _ID_BITS = 12, 16
+#: Symbols beside the ids: one that was seen but has no slot, one that is new.
+_RARE, _NEW = _IDS, _IDS + 1
+_LEAST = 8
 _U = np.uint64
-
-#: Class and low bits of each id below 2^16: ids 0 and 1 are classes of their own, then two classes for each bit length.
-_ids = np.arange(1 << 16)
-_len = np.frompyfunc(int.bit_length, 1, 1)(_ids).astype(np.int64)
-_CLASS = np.where(_ids < 2, _ids, 2 * (_len - 1) + ((_ids >> np.maximum(_len - 2, 0)) & 1))
-_BITS = np.where(_ids < 2, 0, np.maximum(_len - 2, 0))
-_LOW = _ids & ((1 << _BITS) - 1)
-_FIRST = np.full(_CLASSES, 0)
-_NBITS = np.zeros(_CLASSES, np.int64)
-for _c in range(_CLASSES):
-    _own = np.flatnonzero(_CLASS == _c)
-    if len(_own):
-        _FIRST[_c], _NBITS[_c] = _own[0], _BITS[_own[0]]
-del _ids, _len, _c, _own
+_MASK = _U((1 << 48) - 1)
+_TOP, _BOT, _WORD = _U(1 << 32), _U(1 << 16), _U(16)
+_FLAGS, _SLOT = _U(_FLAG_BITS), _U(_ID_BITS)
 
 
 class _Model:
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.two, self.one = np.zeros(lanes * _SLOTS2, np.uint32), np.zeros(lanes * _SLOTS1, np.uint32)
-        self.at2, self.at1 = self.lane * _SLOTS2, self.lane * _SLOTS1
-        self.n0, self.nc = np.zeros((lanes, _SYMBOLS), np.int32), np.zeros((lanes * 4, _SYMBOLS), np.int32)
-        self.cum = np.full((lanes * 4, _WIDTH), np.iinfo(np.int32).max, np.int32)  # padded for the decoder's binary search
-        self.cum[:, 0] = 0
-        self.flat, self.flat0, self.flatc = self.cum.ravel(), self.n0.ravel(), self.nc.ravel()
-        self.lane4, self.lane_s = self.lane * 4, self.lane * _SYMBOLS
-        self.refresh()
-
-    def refresh(self) -> None:
-        mixed = self.nc.reshape(-1, 4, _SYMBOLS) * 2
-        mixed += (self.n0 + 1)[:, None, :]
-        np.cumsum(mixed.reshape(-1, _SYMBOLS), axis=1, out=self.cum[:, 1 : _SYMBOLS + 1])
-
-    def slots(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the predictions after ids a, b (b the latest) are kept."""
-        return self.at2 + ((a * 40503 + b * 30011 >> 5) & (_SLOTS2 - 1)), self.at1 + ((b * 40503 >> 4) & (_SLOTS1 - 1))
-
-    def look(self, s2: np.ndarray, s1: np.ndarray):
-        """Predictions, and the row of the tables for what is known of them. An entry is the id plus 1, times 4, plus 1 for seen and 2 for right the last time."""
-        e2, e1 = self.two.take(s2), self.one.take(s1)
-        return e2 >> 2, e1 >> 2, self.lane4 + ((e2 & 2) + ((e1 & 2) >> 1))
-
-    def learn(self, s2, s1, entry, right2, right1, row, sym) -> None:
-        self.two[s2] = entry + right2
-        self.one[s1] = entry + right1
-        self.flat0[self.lane_s + sym] += 1
-        self.flatc[row * _SYMBOLS + sym] += 1
-
-
-def encode(ids: np.ndarray) -> bytes:
-    """ids (below 2^16) of a segment -> its blocks, each with count, length and checksum."""
-    n = len(ids)
-    lanes = -(-n // BLOCK)
-    grid = np.zeros(lanes * BLOCK, np.uint16)
-    grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
-    counts = np.full(lanes, BLOCK)
-    if lanes:
-        counts[-1] = n - (lanes - 1) * BLOCK
-    out, used = np.zeros((lanes, BLOCK * 2 + 8), np.uint16), np.zeros(lanes, np.int64)
-    m, low, rng = _Model(lanes), np.zeros(lanes, _U), np.full(lanes, _MASK)
+    """What is known after the steps so far, the same in encoder and decoder."""
+
+    def __init__(self) -> None:
+        self.two, self.sure2 = np.zeros(_SLOTS, np.uint32), np.zeros(_SLOTS, np.int8)
+        self.one, self.sure1 = np.zeros(_IDS, np.uint32), np.zeros(_IDS, np.int8)
+        self.n = np.zeros(_IDS, np.int64)
+        self.flags = np.tile(np.array([1, 1, 2], np.int64), (_LEVELS * _LEVELS, 1))
+        self.past, self.new, self.steps, self.next = [], 0, 0, 1
+        self._refresh()
+
+    def _refresh(self) -> None:
+        """Cumulative tables from the counts."""
+        fresh = 0
+        if self.past:
+            count = np.bincount(np.concatenate(self.past), minlength=_IDS)
+            fresh = int(((self.n == 0) & (count > 0)).sum())
+            self.n += count
+            self.past = []
+        total, seen = int(self.n.sum()), self.n > 0
+        room = (1 << _ID_BITS) - 2 * _LEAST
+        # new ids get the share they had since the last refresh
+        new = total * fresh // max(1, self.new) if total else 1
+        self.new = 0
+        freq = self.n * room // max(1, total + new)
+        rare = seen & (freq == 0)
+        left = (1 << _ID_BITS) - int(freq.sum()) - 2 * _LEAST
+        mass_rare = int(self.n[rare].sum())
+        to_rare = left * mass_rare // max(1, mass_rare + new)
+        ids = np.flatnonzero(freq)
+        symbols = np.concatenate((ids, [_RARE, _NEW]))
+        sizes = np.concatenate((freq[ids], [_LEAST + to_rare, _LEAST + left - to_rare]))
+        ends = np.cumsum(sizes)
+        self.start, self.size = np.zeros(_IDS + 2, np.int64), np.zeros(_IDS + 2, np.int64)
+        self.start[symbols], self.size[symbols] = ends - sizes, sizes
+        self.symbol_at = np.repeat(symbols, sizes)
+        self.rare = np.flatnonzero(rare)
+        # ids as symbols of their own, or of the two that stand for many
+        self.symbol = np.where(freq > 0, np.arange(_IDS), np.where(rare, _RARE, _NEW))
+        self.number = np.zeros(_IDS, np.int64)
+        self.number[self.rare] = np.arange(len(self.rare))
+        share = 1 + self.flags * ((1 << _FLAG_BITS) - 3) // self.flags.sum(axis=1, keepdims=True)
+        share[:, 2] += (1 << _FLAG_BITS) - share.sum(axis=1)
+        self.flag_ends = np.cumsum(share, axis=1)
+        self.flag_size, self.flag_start = share.ravel(), (self.flag_ends - share).ravel()
+        self.first, self.second = self.flag_ends[:, 0].copy(), self.flag_ends[:, 1].copy()
+
+    def look(self, a: np.ndarray, b: np.ndarray):
+        """Predictions after ids a, b (b the latest), as ids plus 1 or 0 for none, the place of the first, and the row of their confidences."""
+        slot = (a * 40503 + b * 30011 ^ (a << 5)) & (_SLOTS - 1)
+        return slot, self.two[slot], self.one[b], self.sure2[slot].astype(np.int64) * _LEVELS + self.sure1[b]
+
+    def learn(self, slot, b, p2, p1, x, row, flag) -> None:
+        ids1 = (x + 1).astype(np.uint32)
+        for table, sure, at, p in ((self.two, self.sure2, slot, p2), (self.one, self.sure1, b, p1)):
+            c = sure[at]
+            right = p == ids1
+            keep = right | (c > 2)
+            table[at] = np.where(keep, p, ids1)
+            sure[at] = np.where(right, np.minimum(c + 1, _LEVELS - 1), np.where(keep, c - 2, 1))
+        self.flags += np.bincount(row * 3 + flag, minlength=self.flags.size).reshape(self.flags.shape)
+        self.past.append(x)
+        self.new += len(x)
+        self.steps += 1
+        if self.steps == self.next:
+            self.next += min(self.steps, REFRESH)
+            big = self.flags.sum(axis=1) > 1 << 24
+            self.flags[big] = (self.flags[big] >> 1) + 1
+            self._refresh()
+
+
+def _lanes(n: int) -> int:
+    return max(1, min(LANES, n // LANE_IDS))
+
+
+def _grid(n: int) -> tuple[int, np.ndarray]:
+    """Steps of a block of n ids, and how many ids each lane has: the first lanes have one more."""
+    lanes = _lanes(n)
+    counts = np.full(lanes, n // lanes)
+    counts[: n % lanes] += 1
+    return int(counts[0]) if n else 0, counts
+
+
+def _encode_block(ids: np.ndarray) -> bytes:
+    steps, counts = _grid(len(ids))
+    lanes = len(counts)
+    grid = np.zeros((steps, lanes), np.int64)
+    starts = np.cumsum(counts) - counts
+    full = int(counts[-1])
+    for t in range(steps):
+        grid[t, : lanes if t < full else len(ids) % lanes] = ids[(starts + t)[: lanes if t < full else len(ids) % lanes]]
+    out, used = np.zeros((lanes, steps * 3 + 8), np.uint16), np.zeros(lanes, np.int64)
+    low, rng = np.zeros(lanes, _U), np.full(lanes, _MASK)
+    m = _Model()
 
     def push(which: np.ndarray) -> None:
         out[which, used[which]] = low[which] >> _U(32)
         used[which] += 1
 
-    def shrink(below: np.uint64 | None = None) -> None:
+    def shrink(live: int, below: np.uint64 | None = None) -> None:
         """Puts out settled words; with `below`, only of lanes whose range is less."""
         while True:
-            if below is None:
-                small = (low ^ (low + rng)) < _TOP
-                small |= rng < _BOT
-                which = np.flatnonzero(small)
-            else:
-                which = np.flatnonzero(rng < below)
+            l, r = low[:live], rng[:live]
+            small = r < below if below is not None else ((l ^ (l + r)) < _TOP) | (r < _BOT)
+            which = np.flatnonzero(small)
             if not len(which):
                 return
-            l, r = low[which], rng[which]
+            l, r = l[which], r[which]
             np.copyto(r, (~l + _U(1)) & (_BOT - _U(1)), where=(l ^ (l + r)) >= _TOP)
             push(which)
             low[which] = (l << _WORD) & _MASK
             rng[which] = (r << _WORD) & _MASK
 
-    # what depends on the ids alone is worked out for some steps at once
-    before = np.zeros((2, lanes), np.int64)
-    steps = int(counts.max(initial=0))
-    for t0 in range(0, steps, REFRESH):
-        x = grid[t0 : t0 + REFRESH].astype(np.int64)
-        past = np.concatenate((before, x))
-        before = past[-2:]
-        slots2, slots1 = m.slots(past[:-2], past[1:-1])
-        ids1 = (x + 1).astype(np.uint32)
-        entries, classes, widths, lows = ids1 * 4 + 1, _CLASS.take(x) + 2, _BITS.take(x).astype(_U), _LOW.take(x).astype(_U)
-        for k in range(min(REFRESH, steps - t0)):
-            s2, s1 = slots2[k], slots1[k]
-            p2, p1, row = m.look(s2, s1)
-            right2, right1 = p2 == ids1[k], p1 == ids1[k]
-            sym = np.where(right2, 0, np.where(right1, 1, classes[k]))
-            base = row * _WIDTH
-            own = base + sym
-            lo, hi = m.flat.take(own), m.flat.take(own + 1)
-            rng //= m.flat.take(base + _SYMBOLS).astype(_U)
-            low += rng * lo.astype(_U)
-            rng *= (hi - lo).astype(_U)
-            shrink(_BOT)
-            plain = sym > 1
-            rng >>= np.where(plain, widths[k], 0)
-            low += rng * np.where(plain, lows[k], 0)
-            shrink()
-            m.learn(s2, s1, entries[k], right2, right1, row, sym)
-        m.refresh()
-    for _ in range(3 if lanes else 0):
-        push(m.lane)
+    a = b = np.zeros(lanes, np.int64)
+    for t in range(steps):
+        live = lanes if t < full else len(ids) % lanes
+        x, a, b = grid[t, :live], a[:live], b[:live]
+        slot, p2, p1, row = m.look(a, b)
+        flag = np.where(p2 == x + 1, 0, np.where(p1 == x + 1, 1, 2))
+        at = row * 3 + flag
+        l, r = low[:live], rng[:live]
+        r >>= _FLAGS
+        l += r * m.flag_start.take(at).astype(_U)
+        r *= m.flag_size.take(at).astype(_U)
+        shrink(live, _BOT)
+        plain = np.flatnonzero(flag == 2)
+        own = x[plain]
+        symbol = m.symbol[own]
+        step = rng[plain] >> _SLOT
+        low[plain] += step * m.start[symbol].astype(_U)
+        rng[plain] = step * m.size[symbol].astype(_U)
+        shrink(live)
+        for kind, values, many in ((_RARE, m.number, len(m.rare)), (_NEW, None, _IDS)):
+            which = symbol == kind
+            if which.any():
+                lane, value = plain[which], own[which]
+                shrink(live, _BOT)
+                step = rng[lane] // _U(many)
+                low[lane] += step * (value if values is None else values[value]).astype(_U)
+                rng[lane] = step
+                shrink(live)
+        m.learn(slot, b, p2, p1, x, row, flag)
+        a, b = b, x
+    for _ in range(3 if steps else 0):
+        push(np.arange(lanes))
         low = (low << _WORD) & _MASK
-    table, parts = [], []
-    for k in range(lanes):
-        payload = out[k, : used[k]].astype("<u2").tobytes()
-        table.append(struct.pack("<III", int(counts[k]), int(used[k]), zlib.crc32(payload)))
-        parts.append(payload)
-    return MAGIC + struct.pack("<I", lanes) + b"".join(table) + b"".join(parts)
+    return used.astype("<u2" if steps < 20_000 else "<u4").tobytes() + b"".join(out[k, : used[k]].astype("<u2").tobytes() for k in range(lanes))
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The ids of a segment; ValueError if a block doesn't match its checksum."""
-    if data[:4] != MAGIC:
-        raise ValueError("not a segment")
-    (lanes,) = struct.unpack_from("<I", data, 4)
-    table = np.frombuffer(data, "<u4", lanes * 3, 8).reshape(lanes, 3).astype(np.int64)
-    at, words = 8 + 12 * lanes, np.zeros((lanes, int(table[:, 1].max(initial=0)) + 4), np.uint16)
-    for k, (_, used, crc) in enumerate(table.tolist()):
-        if zlib.crc32(data[at : at + 2 * used]) != crc:
-            raise ValueError(f"block {k} is damaged")
-        words[k, :used] = np.frombuffer(data, "<u2", used, at)
-        at += 2 * used
-    grid = np.zeros((BLOCK, lanes), np.uint16)
-    m, low, rng, code = _Model(lanes), np.zeros(lanes, _U), np.full(lanes, _MASK), np.zeros(lanes, _U)
+def _decode_block(data: bytes, n: int) -> np.ndarray:
+    steps, counts = _grid(n)
+    lanes = len(counts)
+    wide = 2 if steps < 20_000 else 4
+    used = np.frombuffer(data, f"<u{wide}", lanes).astype(np.int64)
+    flat = np.concatenate((np.frombuffer(data, "<u2", int(used.sum()), lanes * wide), np.zeros(4, np.uint16)))
+    pos = np.cumsum(used) - used
+    last = pos + used - 1
+    low, rng, code = np.zeros(lanes, _U), np.full(lanes, _MASK), np.zeros(lanes, _U)
     for k in range(3):
-        code = (code << _WORD) | words[:, k]
-    pos, top = np.full(lanes, 3), words.shape[1] - 1
-    flat_words, lane_words = words.ravel(), np.arange(lanes) * words.shape[1]
-    a = b = np.zeros(lanes, np.int64)
+        code = (code << _WORD) | flat[np.minimum(pos + k, last)]
+    pos += 3
+    grid = np.zeros((steps, lanes), np.uint16)
+    m, full = _Model(), int(counts[-1])
 
-    def shrink(below: np.uint64 | None = None) -> None:
+    def shrink(live: int, below: np.uint64 | None = None) -> None:
         """Takes in words as they are settled; with `below`, only of lanes whose range is less."""
         while True:
-            if below is None:
-                small = (low ^ (low + rng)) < _TOP
-                small |= rng < _BOT
-                which = np.flatnonzero(small)
-            else:
-                which = np.flatnonzero(rng < below)
+            l, r = low[:live], rng[:live]
+            small = r < below if below is not None else ((l ^ (l + r)) < _TOP) | (r < _BOT)
+            which = np.flatnonzero(small)
             if not len(which):
                 return
-            l, r = low[which], rng[which]
+            l, r = l[which], r[which]
             np.copyto(r, (~l + _U(1)) & (_BOT - _U(1)), where=(l ^ (l + r)) >= _TOP)
             p = pos[which]
-            code[which] = ((code[which] << _WORD) & _MASK) | flat_words.take(lane_words[which] + np.minimum(p, top))
+            code[which] = ((code[which] << _WORD) & _MASK) | flat.take(np.minimum(p, last[which]))
             pos[which] = p + 1
             low[which] = (l << _WORD) & _MASK
             rng[which] = (r << _WORD) & _MASK
 
-    steps = int(table[:, 0].max(initial=0))
+    a = b = np.zeros(lanes, np.int64)
     for t in range(steps):
-        s2, s1 = m.slots(a, b)
-        p2, p1, row = m.look(s2, s1)
-        base = row * _WIDTH
-        total = m.flat.take(base + _SYMBOLS)
-        rng //= total.astype(_U)
-        at_ = np.minimum((((code - low) & _MASK) // rng).astype(np.int64), total - 1)
-        own = base.copy()
-        for step in (32, 16, 8, 4, 2, 1):
-            own += (m.flat.take(own + step) <= at_) * step
-        sym = own - base
-        lo, hi = m.flat.take(own), m.flat.take(own + 1)
-        low += rng * lo.astype(_U)
-        rng *= (hi - lo).astype(_U)
-        shrink(_BOT)
-        cls = np.maximum(sym - 2, 0)
-        bits = np.where(sym > 1, _NBITS.take(cls), 0)
-        rng >>= bits.astype(_U)
-        res = np.minimum((((code - low) & _MASK) // rng).astype(np.int64), (1 << bits) - 1)
-        low += rng * res.astype(_U)
-        shrink()
-        right2 = sym == 0
-        x = np.where(right2, p2.astype(np.int64) - 1, np.where(sym == 1, p1.astype(np.int64) - 1, _FIRST.take(cls) + res))
-        grid[t] = x
-        ids1 = (x + 1).astype(np.uint32)
-        m.learn(s2, s1, ids1 * 4 + 1, right2, p1 == ids1, row, sym)
-        if t % REFRESH == REFRESH - 1:
-            m.refresh()
+        live = lanes if t < full else n % lanes
+        a, b = a[:live], b[:live]
+        slot, p2, p1, row = m.look(a, b)
+        l, r = low[:live], rng[:live]
+        r >>= _FLAGS
+        at = np.minimum((((code[:live] - l) & _MASK) // r).astype(np.int64), (1 << _FLAG_BITS) - 1)
+        flag = (at >= m.first.take(row)).astype(np.int64) + (at >= m.second.take(row))
+        at = row * 3 + flag
+        l += r * m.flag_start.take(at).astype(_U)
+        r *= m.flag_size.take(at).astype(_U)
+        shrink(live, _BOT)
+        x = np.where(flag == 0, p2, p1).astype(np.int64) - 1
+        plain = np.flatnonzero(flag == 2)
+        step = rng[plain] >> _SLOT
+        symbol = m.symbol_at[np.minimum((((code[plain] - low[plain]) & _MASK) // step).astype(np.int64), (1 << _ID_BITS) - 1)]
+        low[plain] += step * m.start[symbol].astype(_U)
+        rng[plain] = step * m.size[symbol].astype(_U)
+        x[plain] = symbol
+        shrink(live)
+        for kind, many in ((_RARE, len(m.rare)), (_NEW, _IDS)):
+            which = symbol == kind
+            if which.any():
+                lane = plain[which]
+                shrink(live, _BOT)
+                step = rng[lane] // _U(many)
+                number = np.minimum((((code[lane] - low[lane]) & _MASK) // step).astype(np.int64), many - 1)
+                low[lane] += step * number.astype(_U)
+                rng[lane] = step
+                x[lane] = m.rare[number] if kind == _RARE else number
+                shrink(live)
+        grid[t, :live] = x
+        m.learn(slot, b, p2, p1, x, row, flag)
         a, b = b, x
-    flat = grid.T.ravel()
-    n = int(table[:, 0].sum())
-    return flat[:n]
+    return np.concatenate([grid[:full].T.ravel()] if n % lanes == 0 else [grid[:, : n % lanes].T.ravel(), grid[:full, n % lanes :].T.ravel()]) if n else np.zeros(0, np.uint16)
+
+
+def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
+    """ids (below 2^16) -> blocks of `block` ids at most, each with its count, length and checksum."""
+    parts = [MAGIC + struct.pack("<I", -(-len(ids) // block))]
+    for at in range(0, len(ids), block):
+        own = np.asarray(ids[at : at + block])
+        payload = _encode_block(own)
+        parts.append(struct.pack("<III", len(own), len(payload), zlib.crc32(payload)) + payload)
+    return b"".join(parts)
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The ids of encoded blocks; ValueError if one doesn't match its checksum."""
+    if data[:4] != MAGIC:
+        raise ValueError("not encoded ids")
+    (blocks,), at, out = struct.unpack_from("<I", data, 4), 8, [np.zeros(0, np.uint16)]
+    for k in range(blocks):
+        n, length, crc = struct.unpack_from("<III", data, at)
+        payload = data[at + 12 : at + 12 + length]
+        if zlib.crc32(payload) != crc:
+            raise ValueError(f"block {k} is damaged")
+        out.append(_decode_block(payload, n))
+        at += 12 + length
+    return np.concatenate(out)

@@ -1,7 +1,7 @@
 """Operator 6, token-ID output: ids of whole texts in ascending doc_id order, in blocks of an adaptive context-mixing range coder.
 
 Texts are range-partitioned and sorted by doc_id (the one shuffle), tokenized, and packed into segments of whole documents
-(about SEGMENT ids). A segment's row has its place (shard, seq), its documents' ids and lengths, and `frames`, the coded
+(about SEGMENT ids, two coder blocks). A segment's row has its place (shard, seq), its documents' ids and lengths, and `frames`, the coded
 blocks (see range_coder) with a checksum each. Segments are written as Parquet by Spark, so that the folder may be in any
 store; a lost task rewrites its own file. Reading decodes a segment's blocks side by side and fails on damage.
 
@@ -32,7 +32,7 @@ from . import range_coder
 from .common import Scratch
 
 #: Ids in a segment, at least, unless its shard ends.
-SEGMENT = 2048 * range_coder.BLOCK
+SEGMENT = 2 * range_coder.BLOCK
 #: Words whose ids a worker keeps.
 CACHE = 300_000
 #: Segments are few; their starts are broadcast up to this many and joined by shuffle beyond.
@@ -122,7 +122,9 @@ def encoder(path: str, pattern: str) -> Encoder:
 def segments(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
     """docs(doc_id, text) -> (shard, seq, n_ids, doc_ids, lengths, frames)."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # texts break ties, so that rows without an id, or of one id, are no single range
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ordered = docs.select("doc_id", "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
     schema = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("frames", pa.binary())])
     end = array("H", [end_id]).tobytes()
 
@@ -178,8 +180,11 @@ def digests(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0) -> D
     """Writes the documents' ids, reads them back: (doc_id, start, n_tokens, ids_crc32)."""
     scratch = Scratch(docs.sparkSession)
     segs = scratch.write(segments(docs, tokenizer, pattern, end_id))
-    order = Window.orderBy("shard", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = segs.select("shard", "seq", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
+    # ids before a shard, from a row for each shard, and before a segment within its shard
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = segs.groupBy("shard").agg(F.sum("n_ids").alias("n_ids")).select("shard", before(Window.orderBy("shard")).alias("base"))
+    within = segs.select("shard", "seq", before(Window.partitionBy("shard").orderBy("seq")).alias("own"))
+    starts = within.join(shards, "shard").select("shard", "seq", (F.col("base") + F.col("own")).alias("base"))
     if segs.count() <= BROADCAST_SEGMENTS:
         starts = F.broadcast(starts)
     return read(segs).join(starts, ["shard", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

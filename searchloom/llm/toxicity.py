@@ -6,7 +6,9 @@ Learned from labelled training rows only. Lexicon: words that toxic texts use in
 first letter from which no term is in reach. Words that non-toxic texts use are no misspellings. Each hit is looked at
 in its window: inside quotation marks or after a reporting verb it counts as quoted, else as abuse; the densest window
 of hits counts too. A logistic regression over these features gives the score; it is fitted on the features
-of about FIT_ROWS training rows at most, chosen by their hashes. About LABELS labelled rows at most are learned from at all.
+of about FIT_ROWS training rows at most, chosen by their hashes, and of copies of the toxic ones in which each term has an error, so that
+misspelled terms count as evidence by a weight of their own. About LABELS labelled rows at most are learned from at all; that alone
+bounds the lexicon and the words known beside it, of which none is left out.
 
 Defined cases: null and empty texts have no hits and the model's base score; null labels and labels of unknown documents are ignored,
 a document with several labels is toxic if one says so; without training rows of both kinds every score is 0; repeated
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,15 +31,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Bounds of what is learned: terms, known words near a term, rows of the fit.
-TERMS, KNOWN, FIT_ROWS = 5_000, 50_000, 20_000
+#: Rows of the fit, about.
+FIT_ROWS = 20_000
 #: Labelled training rows that are learned from, about, and broadcast to the texts; those with the smallest hashes.
 LABELS = 400_000
 #: A term has at least so many contexts in toxic training texts, so many times its share elsewhere, and this length.
 CONTEXTS, LIFT, LENGTH = 5, 20.0, 4
 #: Lengths of stems, and the words of one stem at least.
 STEMS, STEM_WORDS = (4, 5, 6), 3
-#: Words this long may have one error.
+#: Of a word and its term the longer has so many letters at least, and the shorter one less, if they may differ by an error.
 FUZZY_LENGTH = 5
 WINDOW = 12
 _TOKEN = re.compile(r"[^\W_]+|[\"“”„«»‘’']")
@@ -111,6 +114,10 @@ class Automaton:
         return self.ends[s]
 
 
+def fuzzy(word: str, term: str) -> bool:
+    return max(len(word), len(term)) >= FUZZY_LENGTH and min(len(word), len(term)) >= FUZZY_LENGTH - 1
+
+
 @dataclass
 class Model:
     terms: tuple[str, ...] = ()
@@ -128,10 +135,27 @@ class Model:
         m = self._auto.match(word)
         if m is None or m == (0, word):
             return m
-        if word in self.known or m[0] and (len(word) < FUZZY_LENGTH or len(m[1]) < FUZZY_LENGTH):
+        if word in self.known or m[0] and not fuzzy(word, m[1]):
             return None
         return m
 
+    def misspelled(self, text: str | None) -> str:
+        """The text with one error in each word that is a term or begins with a stem: the example by which misspelled terms get their weight."""
+
+        def edit(m: re.Match) -> str:
+            word, hit = m[0], self.hit(m[0])
+            if hit is None or hit[0] or len(word) < FUZZY_LENGTH - 1:
+                return word
+            h = zlib.crc32(f"{m.start()} {word}".encode())
+            # not among the letters of a stem, which are looked for as they are
+            low = len(hit[1]) - 1 if hit[1].endswith("*") else 1
+            k, kind, letter = low + h % max(1, len(word) - low), h // 97 % 3, chr(ord("a") + h // 291 % 26)
+            if kind == 0 and len(word) > FUZZY_LENGTH:
+                return word[:k] + word[k + 1 :]
+            return word[:k] + (letter + word[k:] if kind == 1 or len(word) < FUZZY_LENGTH else letter + word[k + 1 :])
+
+        return re.sub(r"[^\W_]+", edit, (text or "").lower())
+
     def features(self, text: str | None) -> list[float]:
         tokens = _TOKEN.findall((text or "").lower())
         seen, open_, n, hits = self._seen, None, 0, []
@@ -186,7 +210,7 @@ def learn(labelled: DataFrame) -> Model:
     lift = (F.col("bad") + 0.5) / n[1] / ((F.col("fine") + 0.5) / n[0])
     stems = share.select("bad", "fine", F.explode(F.array(*[F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEMS])).alias("word"))
     stems = stems.where("word is not null").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"), F.sum(F.when(F.col("bad") > 0, 1).otherwise(0)).alias("words")).where(F.col("words") >= STEM_WORDS).drop("words")
-    likely = share.union(stems).where((F.col("bad") >= CONTEXTS) & (lift >= LIFT)).orderBy(F.desc("bad"), "word").limit(4 * TERMS).select("word")
+    likely = share.union(stems).where((F.col("bad") >= CONTEXTS) & (lift >= LIFT)).select("word")
     maybe = frozenset(r["word"] for r in likely.collect())
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +228,7 @@ def learn(labelled: DataFrame) -> Model:
 
     used = rows.where("toxic = 1").select("text").mapInArrow(contexts, "word string, before string")
     seen = used.groupBy("word").agg(F.countDistinct("before").alias("n"), F.countDistinct(F.substring_index("before", " ", 1)).alias("c")).where(F.least("n", "c") >= CONTEXTS)
-    kept = {r["word"] for r in seen.orderBy(F.desc("n"), "word").limit(TERMS).collect()}
+    kept = {r["word"] for r in seen.select("word").collect()}
     covered = lambda w: any(w[:k] + "*" in kept for k in STEMS if len(w.rstrip("*")) > k)
     model = Model(tuple(sorted(w for w in kept if not covered(w))))
 
@@ -213,15 +237,15 @@ def learn(labelled: DataFrame) -> Model:
             hits = [w.as_py() for w in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([w for w in hits if (m := model.hit(w)) and m != (0, w)], pa.string())], names=["word"])
 
-    words_near = share.where((F.col("fine") > 1) & (lift < LIFT)).orderBy("word").select("word").mapInArrow(near, "word string")
-    model.known = frozenset(r["word"] for r in words_near.limit(KNOWN).collect())
+    words_near = share.where((F.col("fine") > 1) & (lift < LIFT)).select("word").mapInArrow(near, "word string")
+    model.known = frozenset(r["word"] for r in words_near.collect())
     total = n[0] + n[1]
     fit = (rows.where(F.pmod("h", F.lit(1 << 20)) < int(FIT_ROWS / total * (1 << 20))) if total > FIT_ROWS else rows).select("text", "toxic")
 
     def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [model.features(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1).cast(pa.int32())], names=["x", "y"])
+            rows = [(t, y) for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for t in ([text, model.misspelled(text)] if y else [text])]
+            yield pa.RecordBatch.from_arrays([pa.array([model.features(t) for t, _ in rows], pa.list_(pa.float64())), pa.array([y for _, y in rows], pa.int32())], names=["x", "y"])
 
     got = fit.mapInArrow(feats, "x array<double>, y int").collect()
     model.weights = logistic(np.array([[1.0, *r["x"]] for r in got]), np.array([float(r["y"]) for r in got]))

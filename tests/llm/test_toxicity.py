@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 from pyspark.sql import functions as F
@@ -47,6 +49,63 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted for r in out if not r.toxic) <= 0.02 * len(out)
 
 
+def edited(word, rng):
+    k, c, kind = rng.randrange(len(word)), rng.choice("abcdefghijklmnopqrstuvwxyz"), rng.randrange(3)
+    return word[:k] + (c + word[k:] if kind == 0 else c + word[k + 1 :] if kind == 1 else word[k + 1 :])
+
+
+def brute_score(model, text):
+    """The score from its description: every word against every term by edit distance, no automaton, trie or cache."""
+    n, open_at, report, hits = 0, None, -100, []
+    for tok in re.findall(r"[^\W_]+|[\"“”„«»‘’']", (text or "").lower()):
+        if tok in "\"“”„«»‘’'":
+            open_at = None if open_at is not None else n
+            continue
+        report = n if tok in tox._REPORTS else report
+        stem = next((t for k in range(1, len(tok) + 1) for t in model.terms if t == tok[:k] + "*"), None)
+        near = min(((distance(tok, t), t) for t in model.terms if not t.endswith("*") and abs(len(t) - len(tok)) < 2), default=(9, ""))
+        hit = (0, stem) if stem else near if near[0] < 2 else None
+        if hit and hit != (0, tok) and (tok in model.known or hit[0] and (max(len(tok), len(hit[1])) < 5 or min(len(tok), len(hit[1])) < 4)):
+            hit = None
+        if hit:
+            hits.append((n, hit, (open_at is not None and n - open_at <= 12) or n - report <= 4))
+        n += 1
+    free = [(p, h) for p, h, quoted in hits if not quoted]
+    exact, off = sum(h[0] == 0 for _, h in free), sum(h[0] > 0 for _, h in free)
+    dense = max((sum(p <= x < p + 12 for x, _ in free) for p, _ in free), default=0)
+    x = [math.log1p(exact), math.log1p(off), math.log1p(len(hits) - len(free)), math.log1p(dense), math.log1p(len({h[1] for _, h in free})), min(1, 20 * (exact + off) / n) if n else 0]
+    return 1 / (1 + math.exp(-model.weights[0] - sum(w * v for w, v in zip(model.weights[1:], x, strict=True))))
+
+
+def test_scores_equal_brute_force_and_edits_are_caught(spark):
+    docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
+    model = tox.learn(tox.training(docs, labels))
+    rows, rng = docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect(), random.Random(5)
+    whole = {r.doc_id: r.score for r in tox.score(docs, model).collect()}
+    for r in [r for r in rows if r.toxic][:40] + [r for r in rows if not r.toxic and len(r.text or "") < 3000][:60]:
+        assert abs(whole[r.doc_id] - brute_score(model, r.text)) < 1e-9
+    score = lambda t: model.score(model.features(t))
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    plain = {t for t in model.terms if not t.endswith("*")}
+    bad = [r.text for r in held if r.toxic and sum(w in plain for w in re.findall(r"[^\W_]+", r.text.lower())) > 1]
+    off = [re.sub(r"[^\W_]+", lambda m: edited(m[0].lower(), rng) if m[0].lower() in plain else m[0], t) for t in bad]
+    assert len(bad) > 8 and sum(score(t) >= 0.7 for t in off) >= 0.85 * len(off)
+    clean = next(r.text for r in held if not r.toxic and len(r.text.split()) > 60).split()[:48]
+    terms = sorted(plain & {"idiot", "moron", "trash", "stupid", "loser"})[:3]
+    said = lambda words, quote="": f"{quote}{' '.join(words)}{quote} " + " ".join(clean)
+    assert score(said(terms)) >= 0.7 and score(said([t + t[-1] for t in terms])) >= 0.7 > score("he wrote " + said(terms, '"'))
+
+
+def test_a_large_lexicon_is_kept_whole(spark):
+    """More terms and more known neighbours than any fixed bound would have kept by alphabet."""
+    words = [f"z{i:04d}qy" for i in range(6000)]
+    rows = [(k * 40 + j, " ".join(words[(k * 150 + j * 7 + i) % 6000] for i in range(150)), "s") for k in range(40) for j in range(8)] + [(10_000 + i, f"plain text number {i}", "s") for i in range(400)]
+    docs = docs_df(spark, rows)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") < 10_000).cast("int").alias("toxic"))
+    model = tox.learn(tox.training(docs, labels))
+    assert sum(model.hit(w) is not None for w in words) > 5900
+
+
 def sample(spark, n=400):
     rng = random.Random(1)
     words = ["w%s" % "".join(rng.choice("abcdeu") for _ in range(5)) for _ in range(300)]

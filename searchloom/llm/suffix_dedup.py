@@ -1,19 +1,21 @@
 """Operator 7, suffix-array dedup: bucket-pointer refinement over the bytes of all texts.
 
 A full suffix array orders every position; only the order of 50-byte prefixes matters here, and only where two documents
-meet. So the initial q-gram buckets are kept at anchors: of the q-grams that start in a 50-byte string the one of least
-hash. Equal strings have equal anchors, at about one byte in 16. The buckets are then refined by what stands at later (and
-earlier) offsets, each level reusing the one before:
+meet. So buckets are kept at anchors: of the q-grams that start in a 50-byte string the one of least hash. Equal strings
+have equal anchors, at about one byte in 16. A q-gram's bucket has an identifier (its hash), and each anchor carries the identifiers of the
+buckets at four other offsets, 15 and 30 bytes later and earlier, which with its own cover the 80 bytes that hold every
+50-byte string with this anchor.
 
 1. Anchors fall into buckets by their q-gram.
-2. A bucket is sorted by the identifiers of its members' blocks, the 80 bytes that hold every 50-byte string with this anchor.
-   Members with equal blocks are one class: all but the smallest document are covered there, and need no more work.
-3. What is left is sorted by the q-gram with 15 more bytes before it, and again with 15 more after it: any 50-byte string holds one or
-   the other. Only members that share one of these with another document refine to single 50-byte strings on that side, whose
-   identifiers are compared across classes.
+2. Rounds refine them: a round sorts a bucket's members by the bucket identifiers at one of the offsets (`refine`), and the refined numbers are what the
+   next round starts from. Only buckets that are still open, with members of several documents, go on. After four rounds members agree in
+   all 80 bytes: all but the smallest document are covered there, and need no more work.
+3. Of what is left, those whose bucket is open after one round (15 bytes later, or 15 earlier: any 50-byte string with this anchor holds one or
+   the other) refine to single 50-byte strings on that side. A string's identifier joins those of the buckets at its offsets 0, 15
+   and 30, and is compared across anchors.
 
-Each map task settles equal blocks among its own documents first, so a passage that a third of all documents share reaches
-its bucket once for each task's batch, not once for each document. Identifiers are 96 bits of two independent hashes.
+Each map task does the rounds among its own documents first, so a passage that a third of all documents share reaches
+its bucket once for each task's batch, not once for each document. All decisions rest on 96 bits or more of identifiers.
 
 Defined cases: null texts are empty; texts shorter than 50 bytes lose nothing; rows with one doc_id don't cover each other, and
 rows that also agree in text are reported alike; null doc_ids count as larger than all others; empty table: no rows.
@@ -42,7 +44,7 @@ _U = np.uint64
 
 
 class Hashes:
-    """Polynomial hashes of any substring, from prefix sums modulo 2^64, for two independent tables and bases."""
+    """Identifiers of q-grams: polynomial hashes from prefix sums modulo 2^64."""
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
@@ -52,15 +54,13 @@ class Hashes:
         self.up = np.multiply.accumulate(np.concatenate(([_U(1)], np.full(n, _U(base & (1 << 64) - 1)))))
         self.down = np.multiply.accumulate(np.concatenate(([_U(1)], np.full(n, _U(pow(base, -1, 1 << 64))))))
 
-    def prefix(self, buf: bytes) -> np.ndarray:
+    def grams(self, buf: bytes) -> np.ndarray:
+        """The identifier of the q-gram at each position of a piece."""
         x = self.table[np.frombuffer(buf, np.uint8)]
         x *= self.up[: len(x)]
-        out = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(x, out=out[1:])
-        return out
-
-    def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((prefix[end] - prefix[start]) * self.down[start])
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x, out=sums[1:])
+        return mix((sums[Q:] - sums[:-Q]) * self.down[: len(sums) - Q])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -70,17 +70,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def anchors(text: bytes, one: Hashes, two: Hashes) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor, first window, last window, left side id, right side id, q-gram id, block id) of a text, piece by piece."""
+def anchors(text: bytes, ids: Hashes) -> Iterator[tuple[np.ndarray, ...]]:
+    """(anchor, first window, last window, identifiers at 0, +SIDE, +2 SIDE, -SIDE, -2 SIDE) of a text, piece by piece.
+
+    Where the text doesn't reach so far, the identifier at one SIDE is 0, that at two is of its outermost q-gram, with the distance.
+    """
     n = len(text)
     for s in range(0, n - LENGTH + 1, PIECE):
         e = min(n - LENGTH + 1, s + PIECE)
         x0, x1 = max(0, s - _W), min(n, e + _W + LENGTH)
-        buf = text[x0:x1]
-        p1, p2 = one.prefix(buf), two.prefix(buf)
-        at = np.arange(s - x0, e - x0 + _W - 1)
-        grams = one.of(p1, at, at + Q)
-        low = (grams & ~_U(0xFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
+        grams = ids.grams(text[x0:x1])
+        own = grams[s - x0 : e - x0 + _W - 1]
+        low = (own & ~_U(0xFFFFFF)) | np.arange(len(own), dtype=np.uint64)
         reach = 1
         while reach * 2 <= _W:
             low = np.minimum(low[:-reach], low[reach:])
@@ -91,20 +92,20 @@ def anchors(text: bytes, one: Hashes, two: Hashes) -> Iterator[tuple[np.ndarray,
         first = np.concatenate(([0], np.flatnonzero(np.diff(where)) + 1))
         last = np.concatenate((first[1:] - 1, [e - s - 1]))
         a = where[first] + s
-        left, right = np.minimum(a, _W - 1), np.minimum(n - a, LENGTH)
-        block = two.of(p2, a - left - x0, a + right - x0)
-        # a q-gram's id is the low half of its hash: anchors have small hashes, which shows in the high half
-        # the q-gram with the bytes before it, and with those after it; 0 where the text doesn't reach so far
-        sides = []
-        for lo, hi in ((a - _SIDE, a + Q), (a, a + Q + _SIDE)):
-            inside = (lo >= 0) & (hi <= n)
-            h = two.of(p2, np.where(inside, lo - x0, 0), np.where(inside, hi - x0, 0)) >> _U(32)
-            sides.append(np.where(inside, h | _U(1), _U(0)).astype(np.uint32))
-        yield a, first + s, last + s, *sides, grams[where[first]].astype(np.uint32), mix(block + (left * 64 + right).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-
-
-_COLUMNS = (("gram", "<u4"), ("block", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("a", "<u4"), ("lo", "u1"), ("hi", "u1"), ("left", "<u4"), ("right", "<u4"))
+        out = [own[where[first]].astype(np.uint32)]
+        for way, room in ((1, n - Q - a), (-1, a)):
+            near = np.where(room >= _SIDE, grams[np.clip(a + way * _SIDE - x0, 0, len(grams) - 1)] | _U(1), _U(0))
+            reached = np.minimum(room, 2 * _SIDE)
+            far = grams[a + way * reached - x0] + reached.astype(np.uint64) * _U(0x9E3779B97F4A7C15)
+            out += [near.astype(np.uint32), (mix(far) >> _U(16)).astype(np.uint32)]
+        # a q-gram's bucket is the low half of its hash: anchors have small hashes, which shows in the high half
+        yield a, first + s, last + s, *out
+
+
+_COLUMNS = (("gram", "<u4"), ("right", "<u4"), ("right2", "<u4"), ("left", "<u4"), ("left2", "<u4"), ("doc", "<i8"), ("crc", "<u4"), ("a", "<u4"), ("lo", "u1"), ("hi", "u1"))
 _HITS = (("doc", "<i8"), ("crc", "<u4"), ("lo", "<u4"), ("hi", "<u4"))
+#: Offsets whose bucket identifiers the rounds sort by.
+ROUNDS = ("right", "right2", "left", "left2")
 
 
 def _pack(columns: dict, kinds) -> bytes:
@@ -121,20 +122,43 @@ def _unpack(blobs: list[bytes], kinds) -> dict:
     return {k: np.concatenate(parts[k]) if parts[k] else np.zeros(0, t) for k, t in kinds}
 
 
-def _classes(c: dict) -> tuple[dict, np.ndarray, np.ndarray]:
-    """Columns sorted by gram, block, document; class number and its smallest document, row by row."""
-    order = np.lexsort((c["a"], c["doc"], c["block"], c["gram"]))
-    c = {k: v[order] for k, v in c.items()}
-    new = np.concatenate(([True], (c["block"][1:] != c["block"][:-1]) | (c["gram"][1:] != c["gram"][:-1])))
-    number = np.cumsum(new) - 1
-    return c, number, c["doc"][np.flatnonzero(new)][number]
+def refine(bucket: np.ndarray, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One round: members of a bucket, sorted by identifiers at an offset, fall into buckets of their own.
+
+    (number of each row's new bucket, whether it is still open, with members of several documents).
+    """
+    if not len(bucket):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    order = np.lexsort((ids, bucket))
+    b, i, d = bucket[order], ids[order], doc[order]
+    starts = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (i[1:] != i[:-1]))))
+    size = np.diff(np.concatenate((starts, [len(b)])))
+    several = np.maximum.reduceat(d, starts) != np.minimum.reduceat(d, starts)
+    number, open_ = np.zeros(len(b), np.int64), np.zeros(len(b), bool)
+    number[order], open_[order] = np.repeat(np.arange(len(starts)), size), np.repeat(several, size)
+    return number, open_
+
+
+def _covered(c: dict) -> np.ndarray:
+    """Rows whose 80 bytes a smaller document has, too: all rounds, each on the buckets that the one before left open."""
+    rows = np.arange(len(c["gram"]))
+    number, open_ = refine(c["gram"], np.zeros(len(rows), np.uint8), c["doc"])
+    for side in ROUNDS:
+        rows, number = rows[open_], number[open_]
+        number, open_ = refine(number, c[side][rows], c["doc"][rows])
+    rows, number = rows[open_], number[open_]
+    out = np.zeros(len(c["gram"]), bool)
+    if len(rows):
+        least = np.full(int(number.max()) + 1, NO_ID, np.int64)
+        np.minimum.at(least, number, c["doc"][rows])
+        out[rows] = c["doc"][rows] > least[number]
+    return out
 
 
 def _send(parts: list, buckets: int, turn: int) -> Iterator[pa.RecordBatch]:
     """Settles equal blocks within the gathered documents; what is open goes to the buckets, covered windows along with them."""
     c = {k: np.concatenate([p[i] for p in parts]) for i, (k, _) in enumerate(_COLUMNS)}
-    c, _, least = _classes(c)
-    covered = c["doc"] > least
+    covered = _covered(c)
     rows = []
     if covered.any():
         a = c["a"][covered].astype(np.int64)
@@ -152,7 +176,7 @@ def _send(parts: list, buckets: int, turn: int) -> Iterator[pa.RecordBatch]:
 
 def _gather(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Hashes(1), Hashes(2)
+        ids = Hashes(1)
         from pyspark import TaskContext
 
         parts, total, turn = [], 0, 7919 * TaskContext.get().partitionId()
@@ -162,8 +186,8 @@ def _gather(docs: DataFrame, buckets: int) -> DataFrame:
                 if len(t) < LENGTH:
                     continue
                 crc = zlib.crc32(t)
-                for a, lo, hi, left, right, gram, block in anchors(t, one, two):
-                    parts.append((gram, block, np.full(len(a), key.as_py(), np.int64), np.full(len(a), crc, np.uint32), a.astype(np.uint32), (a - lo).astype(np.uint8), (a - hi).astype(np.uint8), left, right))
+                for a, lo, hi, *at in anchors(t, ids):
+                    parts.append((*at, np.full(len(a), key.as_py(), np.int64), np.full(len(a), crc, np.uint32), a.astype(np.uint32), (a - lo).astype(np.uint8), (a - hi).astype(np.uint8)))
                     total += len(a)
                     if total >= FLUSH:
                         yield from _send(parts, buckets, turn)
@@ -180,16 +204,8 @@ _FOUND = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("crc", pa.int64()
 
 
 def _shared(c: dict, side: str) -> np.ndarray:
-    """Rows whose q-gram and bytes on this side another document has, too."""
-    out = np.zeros(len(c["gram"]), bool)
-    if not len(out):
-        return out
-    order = np.lexsort((c["doc"], c[side], c["gram"]))
-    gram, own, doc = (c[k][order] for k in ("gram", side, "doc"))
-    starts = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (own[1:] != own[:-1]))))
-    size = np.diff(np.concatenate((starts, [len(doc)])))
-    out[order] = np.repeat(np.maximum.reduceat(doc, starts) != np.minimum.reduceat(doc, starts), size) & (own != 0)
-    return out
+    """Rows whose bucket is still open after a round by this side's identifiers."""
+    return refine(c["gram"], c[side], c["doc"])[1] & (c[side] != 0)
 
 
 def _refine(gathered: DataFrame) -> DataFrame:
@@ -202,11 +218,9 @@ def _refine(gathered: DataFrame) -> DataFrame:
         del blobs, table
         out = [(1, hits["doc"], hits["crc"], hits["lo"], hits["hi"])]
         if len(c["gram"]):
-            c, number, least = _classes(c)
-            a = c["a"].astype(np.int64)
-            covered = c["doc"] > least
+            a, covered = c["a"].astype(np.int64), _covered(c)
             out.append((1, c["doc"][covered], c["crc"][covered], (a - c["lo"])[covered], (a - c["hi"])[covered] + LENGTH))
-            # of a class its smallest document is left; it asks if another document shares its q-gram and the bytes on one side
+            # of equal members the smallest document is left; it asks if another shares its bucket after one round
             c = {k: v[~covered] for k, v in c.items()}
             first, last = c["a"].astype(np.int64) - c["lo"], c["a"].astype(np.int64) - c["hi"]
             middle = c["a"].astype(np.int64) - _SIDE
@@ -223,10 +237,10 @@ def _refine(gathered: DataFrame) -> DataFrame:
 
 
 def _strings(asked: DataFrame) -> DataFrame:
-    """(key, crc, bytes, spans of windows) -> (h, h2, key, crc, at), a row for each window."""
+    """(key, crc, bytes, spans of windows) -> (h, h2, key, crc, at), a row for each window: its identifier, of the buckets at its offsets 0, SIDE and 2 SIDE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Hashes(1), Hashes(2)
+        ids = Hashes(2)
         for b in batches:
             for key, crc, text, spans in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
                 t, spans = text.as_py(), spans.values
@@ -239,7 +253,8 @@ def _strings(asked: DataFrame) -> DataFrame:
                         continue
                     buf = t[s : s + PIECE + LENGTH]
                     at = own - s
-                    h, h2 = (x.of(x.prefix(buf), at, at + LENGTH) for x in (two, one))
+                    b0, b1, b2 = (ids.grams(buf)[at + k] for k in (0, _SIDE, 2 * _SIDE))
+                    h, h2 = mix(b0 * _U(3) + (b1 << _U(17) | b1 >> _U(47)) + b2 * _U(0x9E3779B97F4A7C15)), mix(b0 + b1 * _U(0xD6E8FEB86659FD93) + (b2 << _U(29) | b2 >> _U(35)))
                     m = len(own)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(h.view(np.int64)), pa.array((h2 >> _U(32)).astype(np.uint32).view(np.int32)), pa.array(np.full(m, key.as_py())), pa.array(np.full(m, crc.as_py())), pa.array(own)], names=["h", "h2", "key", "crc", "at"]

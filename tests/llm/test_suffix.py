@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 from searchloom.llm import suffix_dedup as sx
 from searchloom.llm.queries import op7_suffixes
 from pyspark.sql import functions as F
@@ -51,14 +52,41 @@ def test_planted_overlaps_small_pieces_and_flushes(spark, monkeypatch):
 def test_pieces_of_a_long_text():
     rng = random.Random(2)
     t = bytes(rng.choice(b"abcdefgh ") for _ in range(3000))
-    whole = list(sx.anchors(t, sx.Hashes(1), sx.Hashes(2)))
+    whole = list(sx.anchors(t, sx.Hashes(1)))
     old, sx.PIECE = sx.PIECE, 300
     try:
-        parts = list(sx.anchors(t, sx.Hashes(1), sx.Hashes(2)))
+        parts = list(sx.anchors(t, sx.Hashes(1)))
     finally:
         sx.PIECE = old
-    at = lambda ps: {(int(a), w, int(g), int(b)) for p in ps for a, lo, hi, _, _, g, b in zip(*p) for w in range(lo, hi + 1)}  # noqa: E731, B905
-    assert len(parts) > 5 and at(whole) == at(parts) and {w for _, w, _, _ in at(whole)} == set(range(len(t) - 49))
+    at = lambda ps: {(int(a), w, *map(int, ids)) for p in ps for a, lo, hi, *ids in zip(*p) for w in range(lo, hi + 1)}  # noqa: E731, B905
+    assert len(parts) > 5 and at(whole) == at(parts) and {x[1] for x in at(whole)} == set(range(len(t) - 49))
+
+
+def test_rounds_one_by_one():
+    """After each round, members of a bucket agree in what its identifiers stand for, and no others do; open ones have several documents."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("ab ") for _ in range(rng.randint(60, 110))) for _ in range(6)]
+    texts = [(rng.choice(base)[rng.randint(0, 20) :] + rng.choice(base)[: rng.randint(20, 90)]).encode() for _ in range(80)]
+    rows = []
+    for d, t in enumerate(texts):
+        if len(t) >= 50:
+            for p in sx.anchors(t, sx.Hashes(1)):
+                rows += [(d, t, int(a), *map(int, ids)) for a, _, _, *ids in zip(*p)]  # noqa: B905
+    doc = np.array([r[0] for r in rows])
+    number, open_ = sx.refine(np.array([r[3] for r in rows], np.uint32), np.zeros(len(rows), np.uint8), doc)
+    sides = lambda t, a: [t[a + 15 : a + 35] if a + 35 <= len(t) else None, (t[max(0, min(a + 30, len(t) - 20)) :][:20], min(len(t) - 20 - a, 30)), t[a - 15 : a + 5] if a >= 15 else None, (t[max(0, a - 30) :][:20], min(a, 30))]
+    known = [(t[a : a + 20],) for _, t, a, *_ in rows]
+    for k in range(-1, 4):
+        if k >= 0:
+            number, open_ = sx.refine(number, np.array([r[4 + k] for r in rows], np.uint32), doc)
+            known = [(*old, sides(t, a)[k]) for old, (_, t, a, *_) in zip(known, rows, strict=True)]
+        groups = {}
+        for n, what, d, o in zip(number.tolist(), known, doc.tolist(), open_.tolist(), strict=True):
+            groups.setdefault(n, set()).add((what, o))
+            groups.setdefault(("docs", n), set()).add(d)
+        buckets = [n for n in groups if not isinstance(n, tuple)]
+        assert len(buckets) == len(set(known)) and all(len(groups[n]) == 1 for n in buckets)
+        assert all(next(iter(groups[n]))[1] == (len(groups["docs", n]) > 1) for n in buckets)
 
 
 def test_awkward_rows(spark):

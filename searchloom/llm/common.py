@@ -40,12 +40,14 @@ def lower_ascii(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset and Spark is local (tests)."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
         jdir = sc._jsc.sc().getCheckpointDir()
         if jdir.isEmpty():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="searchloom-"))
             jdir = sc._jsc.sc().getCheckpointDir()
         base = jdir.get()
@@ -113,6 +115,28 @@ class Scratch:
             pass
 
 
+def block_pairs(ones: DataFrame, every: DataFrame, one: str, two: str) -> DataFrame:
+    """ones(key, one_no, one), every(key, two_no, two): packed blocks of a key -> all (one, two) of a key, dealt by key and second block.
+
+    The blocks' numbers are paired first; a first block then goes to each second block's task, so that a long list is many tasks' work.
+    """
+    numbers = ones.select("key", one + "_no").join(every.select("key", two + "_no"), "key")
+    sent = numbers.join(ones, ["key", one + "_no"])
+    return sent.join(every, ["key", two + "_no"]).select(one, two)
+
+
+#: A node with more neighbours than this is dealt over many tasks; so many of such nodes at most are broadcast.
+HUB, HUBS = 10_000, 100_000
+
+
+def _told(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges(u, v) joined to least(u, m, n), n the neighbours of u. The few nodes with very many are broadcast, so that none of them is one task's work."""
+    hubs = least.where(F.col("n") > HUB).select("u", "m")
+    if not 0 < hubs.limit(HUBS + 1).count() <= HUBS:  # none, or, beyond HUBS * HUB edges, left to the adaptive plan's split of skewed partitions
+        return edges.join(least.select("u", "m"), "u")
+    return edges.join(F.broadcast(hubs), "u").union(edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.select("u", "m"), "u"))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Distributed union-find on edges (src, dst): (node, component) for every node that isn't the smallest of its component.
 
@@ -127,12 +151,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     seen = print_of(e)
     while seen[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = scratch.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = scratch.write(_told(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = scratch.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = _told(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         nxt = scratch.write(small.distinct())
-        scratch.drop(e, large)
+        scratch.drop(e, large, least, low)
         e, last, seen = nxt, seen, print_of(nxt)
         if last == seen:
             break

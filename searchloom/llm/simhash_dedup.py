@@ -122,9 +122,21 @@ def keep_one(keyed: DataFrame, row: str, own: list[Column], found: DataFrame, sc
     return out.select(*own)
 
 
-def dedup(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
+def dedup(docs: DataFrame, list_cap: int = LIST_CAP, similarity: float | None = None) -> DataFrame:
     """The documents without all but one of each group: the one of smallest doc_id stays, null last, and of rows
-    with that doc_id the one of smallest hash over all columns; of equal rows one."""
+    with that doc_id the one of smallest hash over all columns; of equal rows one.
+
+    Groups are linked by fingerprints at 2 or fewer differing bits, or, with a `similarity`, by five-word shingle sets of that Jaccard
+    similarity or more. Fingerprints can't find those pairs: at 0.8 they differ in 10 of 64 bits in the mean, which leaves no byte
+    in common in one pair of twelve and one or none in three, so an index of positional bytes either loses pairs or
+    compares all. `near_copies` finds them all by the shingles themselves.
+    """
+    if similarity is not None:
+        from . import near_copies
+
+        if similarity * near_copies.OF != near_copies.NEAR:
+            raise ValueError(f"near copies are those of {near_copies.NEAR}/{near_copies.OF} and more")
+        return near_copies.dedup(docs, list_cap)
     scratch = Scratch(docs.sparkSession)
     own, row = columns(docs), unused(docs, "_row")
     keyed = docs.withColumn(row, F.xxhash64(*own, *[c.isNull() for c in own]))

@@ -39,6 +39,8 @@ _W = LENGTH - Q + 1
 _SIDE = (LENGTH - Q) // 2
 #: Windows of a text that are worked on at once, and anchors that a map task gathers before it sends them on.
 PIECE, FLUSH = 1 << 17, 200_000
+#: Bytes that an anchor takes on its way to its bucket (a text has one at about every 16 bytes), and bytes of a bucket, about.
+ANCHOR_BYTES, BUCKET_BYTES = 38, 32 << 20
 NO_ID = (1 << 63) - 1
 _U = np.uint64
 
@@ -271,7 +273,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs(doc_id, text) -> (key, crc, spans array<struct<lo, hi>>): the bytes to be removed of a document, in pieces that may overlap."""
     keyed = _keyed(docs)
-    buckets = 4 * max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # buckets of a size that a task can hold, however much text there is
+    size = keyed.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    buckets = max(4 * max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-size * ANCHOR_BYTES // (16 * BUCKET_BYTES)))
     # a task for each bucket or so, however large the parts are that the map tasks send at once
     found = scratch.write(_refine(_gather(keyed, buckets).repartition(buckets, "bucket")))
     spans = lambda df: df.groupBy("key", "crc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))

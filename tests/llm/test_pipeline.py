@@ -4,10 +4,10 @@ import corpus_pipeline as cp
 from searchloom.llm import toxicity
 from searchloom.llm.common import Scratch
 
-from .helpers import SF, docs_df, roots
+from .helpers import SF, docs_df
 from .test_decontaminate import brute as hits
 from .test_mixing import brute_targets
-from .test_simhash import brute as simhash
+from .test_near_copies import stays
 from .test_tokens import brute as tokens
 
 
@@ -24,10 +24,7 @@ def test_stages_against_brute_force(spark):
             model = toxicity.learn(toxicity.training(docs, spark.read.parquet(f"{SF}/labels.parquet")))
             assert ids == sorted(r.doc_id for r in rows if model.score(model.features(r.text)) < 0.7) and len(ids) > 0.7 * len(rows)
         if kind == "sim":
-            rows.sort(key=lambda r: r.doc_id)
-            fps = [simhash(r.text) for r in rows]
-            root = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
-            assert ids == [r.doc_id for k, r in enumerate(rows) if root[k] == k]
+            assert ids == stays(sorted((r.doc_id, r.text) for r in rows))
         if kind == "dec":
             assert ids == sorted(i for i, _, h, _ in hits([(r.doc_id, r.text) for r in rows], items) if not h)
         if kind == "mix":

@@ -56,3 +56,19 @@ def test_awkward_rows(spark):
     assert sd.groups(df.limit(0)).count() == 0
     assert sd.fingerprint(long) == brute(long)
     assert sd.dedup(df).columns == df.columns and sorted(r.doc_id for r in sd.dedup(df).collect()) == [1, 4, 5]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars, chains and rings, with nodes over and under the bound from which neighbours are dealt."""
+    from searchloom.llm import common
+
+    from .helpers import roots
+
+    rng = random.Random(6)
+    links = [(0, i) for i in range(1, 120)] + [(500 + i, 501 + i) for i in range(40)] + [(119, 700 + i) for i in range(60)] + [(rng.randrange(900, 1000), rng.randrange(900, 1000)) for _ in range(60)]
+    want = {k: r for k, r in enumerate(roots(1000, links)) if r != k}
+    edges = spark.createDataFrame(links, "src long, dst long")
+    for hub, hubs in ((10, 1000), (10, 2), (10_000, 10)):
+        monkeypatch.setattr(common, "HUB", hub)
+        monkeypatch.setattr(common, "HUBS", hubs)
+        assert {r.node: r.component for r in common.components(edges, common.Scratch(spark)).collect()} == want

@@ -140,17 +140,15 @@ def _encode_block(ids: np.ndarray) -> bytes:
 
     def shrink(live: int, below: np.uint64 | None = None) -> None:
         """Puts out settled words; with `below`, only of lanes whose range is less."""
-        while True:
-            l, r = low[:live], rng[:live]
-            small = r < below if below is not None else ((l ^ (l + r)) < _TOP) | (r < _BOT)
-            which = np.flatnonzero(small)
-            if not len(which):
-                return
-            l, r = l[which], r[which]
+        l, r = low[:live], rng[:live]
+        which = np.flatnonzero(r < below if below is not None else ((l ^ (l + r)) < _TOP) | (r < _BOT))
+        while len(which):  # lanes with more than one word come again
+            l, r = low[which], rng[which]
             np.copyto(r, (~l + _U(1)) & (_BOT - _U(1)), where=(l ^ (l + r)) >= _TOP)
             push(which)
-            low[which] = (l << _WORD) & _MASK
-            rng[which] = (r << _WORD) & _MASK
+            l, r = (l << _WORD) & _MASK, (r << _WORD) & _MASK
+            low[which], rng[which] = l, r
+            which = which[r < below if below is not None else ((l ^ (l + r)) < _TOP) | (r < _BOT)]
 
     a = b = np.zeros(lanes, np.int64)
     for t in range(steps):
@@ -205,19 +203,17 @@ def _decode_block(data: bytes, n: int) -> np.ndarray:
 
     def shrink(live: int, below: np.uint64 | None = None) -> None:
         """Takes in words as they are settled; with `below`, only of lanes whose range is less."""
-        while True:
-            l, r = low[:live], rng[:live]
-            small = r < below if below is not None else ((l ^ (l + r)) < _TOP) | (r < _BOT)
-            which = np.flatnonzero(small)
-            if not len(which):
-                return
-            l, r = l[which], r[which]
+        l, r = low[:live], rng[:live]
+        which = np.flatnonzero(r < below if below is not None else ((l ^ (l + r)) < _TOP) | (r < _BOT))
+        while len(which):
+            l, r = low[which], rng[which]
             np.copyto(r, (~l + _U(1)) & (_BOT - _U(1)), where=(l ^ (l + r)) >= _TOP)
             p = pos[which]
             code[which] = ((code[which] << _WORD) & _MASK) | flat.take(np.minimum(p, last[which]))
             pos[which] = p + 1
-            low[which] = (l << _WORD) & _MASK
-            rng[which] = (r << _WORD) & _MASK
+            l, r = (l << _WORD) & _MASK, (r << _WORD) & _MASK
+            low[which], rng[which] = l, r
+            which = which[r < below if below is not None else ((l ^ (l + r)) < _TOP) | (r < _BOT)]
 
     a = b = np.zeros(lanes, np.int64)
     for t in range(steps):

@@ -116,25 +116,28 @@ class Scratch:
 
 
 def block_pairs(ones: DataFrame, every: DataFrame, one: str, two: str) -> DataFrame:
-    """ones(key, one_no, one), every(key, two_no, two): packed blocks of a key -> all (one, two) of a key, dealt by key and second block.
+    """ones(key, blocks, one), every(key, two_no, two): packed blocks of a key -> all (one, two) of a key, dealt by key and second block.
 
-    The blocks' numbers are paired first; a first block then goes to each second block's task, so that a long list is many tasks' work.
+    A first block is sent to each of the `blocks` second blocks of its key, so that a long list is many tasks' work.
     """
-    numbers = ones.select("key", one + "_no").join(every.select("key", two + "_no"), "key")
-    sent = numbers.join(ones, ["key", one + "_no"])
+    sent = ones.select("key", one, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias(two + "_no"))
     return sent.join(every, ["key", two + "_no"]).select(one, two)
 
 
-#: A node with more neighbours than this is dealt over many tasks; so many of such nodes at most are broadcast.
-HUB, HUBS = 10_000, 100_000
+#: A node with more neighbours than this is dealt over many tasks, where there are so many edges; so many of such nodes at most are broadcast.
+HUB, HUBS = 1_000_000, 100_000
 
 
-def _told(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges(u, v) joined to least(u, m, n), n the neighbours of u. The few nodes with very many are broadcast, so that none of them is one task's work."""
-    hubs = least.where(F.col("n") > HUB).select("u", "m")
-    if not 0 < hubs.limit(HUBS + 1).count() <= HUBS:  # none, or, beyond HUBS * HUB edges, left to the adaptive plan's split of skewed partitions
-        return edges.join(least.select("u", "m"), "u")
-    return edges.join(F.broadcast(hubs), "u").union(edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.select("u", "m"), "u"))
+def _told(edges: DataFrame, stars: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """edges(u, v) joined to stars(u, m), the least neighbour of u, over n edges. The few nodes with very many neighbours are broadcast, so that
+    none of them is one task's work; the adaptive plan splits what is left of skew."""
+    if n <= HUB:
+        return edges.join(stars.select("u", "m"), "u")
+    stars = scratch.write(stars)
+    hubs = stars.where(F.col("n") > HUB).select("u", "m")
+    if not 0 < hubs.limit(HUBS + 1).count() <= HUBS:
+        return edges.join(stars.select("u", "m"), "u")
+    return edges.join(F.broadcast(hubs), "u").union(edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(stars.select("u", "m"), "u"))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -151,12 +154,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     seen = print_of(e)
     while seen[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
-        large = scratch.write(_told(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = scratch.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = _told(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = scratch.write(_told(both.where("v > u"), least, seen[0], scratch).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _told(large, low, seen[0], scratch).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         nxt = scratch.write(small.distinct())
-        scratch.drop(e, large, least, low)
+        scratch.drop(e, large)
         e, last, seen = nxt, seen, print_of(nxt)
         if last == seen:
             break

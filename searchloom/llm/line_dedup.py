@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, block_pairs, columns, components, unused
+from .common import Scratch, columns, components, unused
 
 SHINGLE, SIMILARITY = 7, 0.8
 BANDS, ROWS = 12, 4
@@ -211,7 +211,8 @@ def links(lines: DataFrame, scratch: Scratch, list_cap: int = LIST_CAP) -> DataF
     pack = lambda df, name: df.groupBy("key", F.pmod(F.shiftright("lid", 9), "blocks").alias(name + "_no")).agg(F.collect_list(F.struct("lid", "line")).alias(name))
     every = pack(sized, "two")
     ones = pack(sized.join(odd, ["key", "lid"], "left_semi"), "one")
-    return edges.union(_block_links(block_pairs(scratch.write(ones), scratch.write(every), "one", "two")))
+    # the adaptive plan splits the blocks of a key with very many of them over tasks
+    return edges.union(_block_links(ones.join(every, ["key"]).select("one", "two")))
 
 
 def kept_lines(docs: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:

@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -285,8 +284,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The documents that score below the threshold, all columns."""
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(model.features(t)) for t in texts], dtype="float64")
+
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(model.features(t.as_py())) for t in texts], pa.float64())
 
     return docs.where(of(F.coalesce("text", F.lit(""))) < threshold)

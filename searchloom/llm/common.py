@@ -115,15 +115,6 @@ class Scratch:
             pass
 
 
-def block_pairs(ones: DataFrame, every: DataFrame, one: str, two: str) -> DataFrame:
-    """ones(key, blocks, one), every(key, two_no, two): packed blocks of a key -> all (one, two) of a key, dealt by key and second block.
-
-    A first block is sent to each of the `blocks` second blocks of its key, so that a long list is many tasks' work.
-    """
-    sent = ones.select("key", one, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias(two + "_no"))
-    return sent.join(every, ["key", two + "_no"]).select(one, two)
-
-
 #: A node with more neighbours than this is dealt over many tasks, where there are so many edges; so many of such nodes at most are broadcast.
 HUB, HUBS = 1_000_000, 100_000
 

@@ -202,9 +202,9 @@ def links(lines: DataFrame, scratch: Scratch, list_cap: int = LIST_CAP) -> DataF
     checked = scratch.write(_verified(asked))
     edges = checked.where("near").select("src", "dst")
     far = spokes.join(checked.where("not near").select(F.col("src").alias("head"), F.col("dst").alias("lid")), ["head", "lid"], "left_semi")
-    if far.isEmpty():
-        return edges
     odd = scratch.write(far.select("key", "lid").distinct())
+    if odd.isEmpty():
+        return edges
     whole = long_.join(odd.select("key").distinct(), ["key"], "left_semi").join(text, "lid")
     chars = F.sum(F.length("line")).over(Window.partitionBy("key"))
     sized = whole.select("key", "lid", "line", F.ceil(F.greatest(F.col("count") / BLOCK, chars / BLOCK_CHARS)).alias("blocks"))

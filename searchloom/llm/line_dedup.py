@@ -26,8 +26,8 @@ from .common import Scratch, columns, components, unused
 SHINGLE, SIMILARITY = 7, 0.8
 BANDS, ROWS = 12, 4
 LIST_CAP, BLOCK = 64, 512
-#: Characters of a block, about, and slots of the bound that rules out pairs.
-BLOCK_CHARS, SLOTS = 400_000, 2048
+#: Characters of a block, about.
+BLOCK_CHARS = 400_000
 #: Ids of lines that share a list are broadcast up to this many (about 16 MB) and joined by shuffle beyond.
 BROADCAST_LINES = 500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -111,8 +111,8 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 def _posted(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                b = batch.slice(at, 2000)
+            for at in range(0, len(batch), 250):  # arrays of so many lines stay in the processor's cache
+                b = batch.slice(at, 250)
                 keys = band_keys(b.column(1).to_pylist())
                 lid = np.repeat(b.column(0).to_numpy(), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(lid)], names=["key", "lid"])
@@ -120,15 +120,21 @@ def _posted(lines: DataFrame) -> DataFrame:
     return lines.select("lid", "line").mapInArrow(run, "key long, lid long")
 
 
-def _may_be_near(ids: np.ndarray, row: np.ndarray, n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """False for pairs of lines that can't reach the similarity: what two lines share is at most the sum, over SLOTS slots of
-    the ids, of the smaller count, and a line has at least as many shingles as it has slots in use."""
-    counts = np.bincount(row * SLOTS + (ids & np.uint64(SLOTS - 1)).astype(np.int64), minlength=n * SLOTS)
-    counts = np.minimum(counts, 255).astype(np.uint8).reshape(n, SLOTS)
-    full = (counts == 255).any(axis=1)
-    used = np.count_nonzero(counts, axis=1)
-    most = np.minimum(counts[x], counts[y]).sum(axis=1, dtype=np.uint32).astype(np.int64)
-    return (most * (1 + SIMILARITY) >= SIMILARITY * (used[x] + used[y])) | full[x] | full[y]
+def _kinds(ids: np.ndarray) -> np.ndarray:
+    """Distinct ids in order."""
+    ids = np.sort(ids)
+    return ids[np.concatenate(([True], ids[1:] != ids[:-1]))]
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two lines' distinct ids are similar; lines of too different sizes can't be."""
+    n = len(x) + len(y)
+    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return False
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")  # two runs in order are merged
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared / (n - shared) >= SIMILARITY
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -136,21 +142,15 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 400):
-                b = batch.slice(at, 400)
+            for at in range(0, len(batch), 200):
+                b = batch.slice(at, 200)
                 xs, ys = b.column(2).to_pylist(), b.column(3).to_pylist()
-                lines = list(dict.fromkeys([*xs, *ys]))
-                at_ = {s: i for i, s in enumerate(lines)}
-                ids, row = shingle_ids(lines)
-                cuts = np.searchsorted(row, np.arange(len(lines) + 1)).tolist()
-                near = _may_be_near(ids, row, len(lines), np.array([at_[x] for x in xs]), np.array([at_[y] for y in ys]))
-                sets = {}
-                for k in np.flatnonzero(near).tolist():
-                    for s in (xs[k], ys[k]):
-                        if s not in sets:
-                            sets[s] = set(ids[cuts[at_[s]] : cuts[at_[s] + 1]].tolist())
-                    near[k] = similarity(sets[xs[k]], sets[ys[k]]) >= SIMILARITY
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)], names=["src", "dst", "near"])
+                place = {s: i for i, s in enumerate(dict.fromkeys([*xs, *ys]))}
+                ids, row = shingle_ids(list(place))
+                cuts = np.searchsorted(row, np.arange(len(place) + 1)).tolist()
+                kinds = [_kinds(ids[i:j]) for i, j in zip(cuts, cuts[1:])]  # noqa: B905
+                near = [_near(kinds[place[x]], kinds[place[y]]) for x, y in zip(xs, ys, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_())], names=["src", "dst", "near"])
 
     return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long, near boolean")
 

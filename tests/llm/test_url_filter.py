@@ -1,3 +1,6 @@
+import math
+import re
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -34,6 +37,39 @@ def test_whole_query(spark):
         assert r.rule == rule and (rule is None or r.verdict == verdict)
 
 
+def brute_items(url):
+    host, path = brute_parts(url)
+    if not host:
+        return frozenset()
+    labels, after = host.split("."), url.split("://", 1)[1][len(host) + len(path) :]
+    out = {"s:" + url.split("://", 1)[0].lower()} | {"h:" + ".".join(labels[i:]) for i in range(len(labels))}
+    out |= {"p:" + re.sub("[0-9]+", "#", x) for x in path.split("/") if x}
+    return frozenset(out | {"q:" + x for x in re.findall("[?&]([^=&#]+)", after)})
+
+
+def test_verdicts_without_a_rule_equal_brute_force(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    bad = {r.doc_id: r.toxic == 1 or r.quality == 0 for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    sets = {i: brute_items(u) for i, u in urls.items()}
+    baskets = [(s, bad[i]) for i, s in sets.items() if s and i in bad]
+    least = math.ceil(max(0.002, 10 / len(baskets)) * len(baskets))
+    every, of_bad = Counter(), Counter()
+    for s, is_bad in baskets:
+        for k in range(1, len(s) + 1):
+            for c in combinations(sorted(s), k):
+                every[c] += 1
+                of_bad[c] += is_bad
+    judged = {0.8: op10_url_rules(spark, sf), 0.3: uf.judge(spark.read.parquet(f"{sf}/pages.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), min_confidence=0.3)}
+    for confidence, got in judged.items():
+        mined = {c for c, n in of_bad.items() if n >= least and n / every[c] >= confidence}
+        assert mined or confidence > 0.3
+        for r in got.where("rule is null").collect():
+            s = sorted(sets[r.page_id])
+            fires = any(c in mined for k in range(1, len(s) + 1) for c in combinations(s, k))
+            assert r.verdict == ("block" if fires else "allow"), urls[r.page_id]
+
+
 def test_awkward_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTPS://A.Example.COM?x=1", "a://b://c/d", "x://example.com/en/7#f", "x://xexample.com/en/7", "x://com/en/", "x://É.net/de/\nline?q", "x://example.net/de/8", "x://example.net/de/8"]
     df = spark.createDataFrame([(i % 11, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")

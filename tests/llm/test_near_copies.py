@@ -51,6 +51,30 @@ def test_long_lists_and_borderline_pairs(spark, monkeypatch, cap):
     assert got == stays(rows)
 
 
+def test_fingerprints_link_first_and_prefixes_complete(spark, monkeypatch):
+    """The stage's links come from the byte-position index, as far as that finds them, and only pairs left apart are completed."""
+    import numpy as np
+    from searchloom.llm import simhash_dedup as sd
+
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    of = {}
+    for r in docs.select("text").collect():
+        ids = nc.shingle_ids(r.text)
+        of[nc.xxhash.xxh64_intdigest(ids.tobytes())] = (set(ids.tolist()), sum(1 << b for b in range(64) if 2 * int((ids >> np.uint64(b) & np.uint64(1)).sum()) > len(ids)))
+    want = set()
+    for a, (s, x) in of.items():
+        for b, (t, y) in of.items():
+            if a < b and (x ^ y).bit_count() <= 4 and 5 * len(s & t) >= 4 * len(s | t):
+                want.add((a, b))
+    seen, verify = [], nc._verify
+    monkeypatch.setattr(nc, "_verify", lambda asked, *more: (seen.append({tuple(sorted(v % (1 << 64) for v in r)) for r in asked.collect()}), verify(asked, *more))[1])
+    cp.drop_near_copies(spark, docs, SF).count()
+    by_index, completed = seen
+    assert want and want <= by_index and not want & completed
+    for bits in (2, 4):
+        assert all(any(set(k) <= set(p) for k in sd._keys(bits)) for p in __import__("itertools").combinations(range(8), 8 - bits))
+
+
 def test_awkward_rows(spark):
     df = docs_df(spark, [(1, None, "a"), (2, "", "a"), (3, " \n\t", None), (4, "one two", "a"), (4, "one two", "a"), (None, "One TWO", "a"), (5, "a b c d e", "b"), (6, "a b c d e f", "b"), (None, None, None)])
     out = nc.dedup(df)

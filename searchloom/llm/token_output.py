@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import Scratch
+from .common import Scratch, trim
 
 #: Ids in a segment, at least, unless its shard ends.
 SEGMENT = 2 * range_coder.BLOCK
@@ -52,16 +52,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            kind = json.load(f)
-        pre = kind.get("pre_tokenizer") or {}
-        self.by_word = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        special = [re.escape(t["content"]) for t in kind.get("added_tokens", ())]
+        # parts of the tokenizer, not its whole file as Python objects
+        pre = json.loads(self.lib.pre_tokenizer.__getstate__()) if self.lib.pre_tokenizer else {}
+        self.by_word = self.lib.normalizer is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        special = [re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
         plain = _plain_pattern(pattern)
-        self.known, self.older = {}, {}
+        self.forget()
         self.split = (re.compile(plain) if plain else regex.compile(pattern)).findall
 
+    def forget(self) -> None:
+        """Words are kept for a task: a worker that goes on to another operator holds none."""
+        self.known, self.older = {}, {}
+        trim()
+
     def _library(self, text: str) -> bytes:
         ids = self.lib.encode(text, add_special_tokens=False).ids
         if ids and max(ids) >= 1 << 16:
@@ -151,6 +155,8 @@ def segments(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, par
                         seq, ids, lengths, parts, total = seq + 1, [], [], [], 0
         if ids:
             yield flush()
+        parts.clear()
+        encode.forget()
 
     return ordered.mapInArrow(run, "shard int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, frames binary")
 
@@ -172,6 +178,7 @@ def read(segs: DataFrame) -> DataFrame:
                     [pa.array([row["shard"]] * m, pa.int32()), pa.array([row["seq"]] * m, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(at), pa.array(n), pa.array(crc, pa.int64())],
                     names=["shard", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
+        trim()
 
     return segs.select("shard", "seq", "n_ids", "doc_ids", "lengths", "frames").mapInArrow(run, "shard int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
 

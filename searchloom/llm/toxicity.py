@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, trim
 
 #: Rows of the fit, about.
 FIT_ROWS = 20_000
@@ -242,9 +242,12 @@ def learn(labelled: DataFrame) -> Model:
     fit = (rows.where(F.pmod("h", F.lit(1 << 20)) < int(FIT_ROWS / total * (1 << 20))) if total > FIT_ROWS else rows).select("text", "toxic")
 
     def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(t, y) for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for t in ([text, model.misspelled(text)] if y else [text])]
-            yield pa.RecordBatch.from_arrays([pa.array([model.features(t) for t, _ in rows], pa.list_(pa.float64())), pa.array([y for _, y in rows], pa.int32())], names=["x", "y"])
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                b = batch.slice(at, 500)
+                rows = [(t, y) for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for t in ([text, model.misspelled(text)] if y else [text])]
+                yield pa.RecordBatch.from_arrays([pa.array([model.features(t) for t, _ in rows], pa.list_(pa.float64())), pa.array([y for _, y in rows], pa.int32())], names=["x", "y"])
+        trim()
 
     got = fit.mapInArrow(feats, "x array<double>, y int").collect()
     model.weights = logistic(np.array([[1.0, *r["x"]] for r in got]), np.array([float(r["y"]) for r in got]))
@@ -278,6 +281,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(model.features(t.as_py())) for t in b.column(1)], pa.float64())], names=["doc_id", "score"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
@@ -286,7 +290,9 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The documents that score below the threshold, all columns."""
 
     @F.arrow_udf("double")
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(model.features(t.as_py())) for t in texts], pa.float64())
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([model.score(model.features(t.as_py())) for t in texts], pa.float64())
+        trim()
 
     return docs.where(of(F.coalesce("text", F.lit(""))) < threshold)

@@ -73,3 +73,18 @@ def test_words_and_library_agree(spark):
     e, t = to.Encoder(P.path("byte_bpe_50k.json"), P.PATTERN), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + ["'s 'S 'll x'LL ª1½ a_b--c\r\n\r\n \t q", "ÀÿɎ ×÷ €“q”"]
     assert [np.frombuffer(b, "<u2").tolist() for b in e.many(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_workers_keep_no_words_after_a_task(spark):
+    import pyarrow as pa
+
+    to.digests(spark.read.parquet(f"{SF}/documents.parquet"), P.path("byte_bpe_50k.json"), P.PATTERN).count()
+
+    def kept(batches):
+        import gc
+
+        for b in batches:
+            n = sum(len(e.known) + len(e.older) for e in gc.get_objects() if isinstance(e, to.Encoder))
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(b), pa.int64())], names=["n"])
+
+    assert max(r.n for r in spark.range(0, 64, 1, 8).mapInArrow(kept, "n long").collect()) == 0

@@ -5,7 +5,7 @@ Texts are range-partitioned and sorted by doc_id (the one shuffle), tokenized, a
 blocks (see range_coder) with a checksum each. Segments are written as Parquet by Spark, so that the folder may be in any
 store; a lost task rewrites its own file. Reading decodes a segment's blocks side by side and fails on damage.
 
-Ids must be below 65,536. Words are encoded with the tokenizers library once and kept in a bounded cache, as
+Ids must be below 65,536. Words are encoded with the tokenizers library's model once and kept in a bounded table (see word_ids), as
 byte-level BPE never merges across the words of its own pre-tokenizer; texts with a special token's string, or with characters
 for which two versions of Unicode may split differently, go through the library whole.
 
@@ -17,10 +17,7 @@ from __future__ import annotations
 
 import functools
 import json
-import re
-import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import range_coder
+from . import range_coder, word_ids
 from .common import Scratch, trim
 
 #: Ids in a segment, at least, unless its shard ends.
 SEGMENT = 2 * range_coder.BLOCK
-#: Words whose ids a worker keeps.
+#: Words whose ids a worker keeps, in two tables: the newer takes over what it meets of the older.
 CACHE = 300_000
 #: Segments are few; their starts are broadcast up to this many and joined by shuffle beyond.
 BROADCAST_SEGMENTS = 50_000
-#: Texts of these characters only are split by our own copy of the pre-tokenizer's pattern.
-_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]")
+#: Bytes of texts that are cut into words at once, unless one text has more.
+CHUNK = 1 << 19
 
 
 class Encoder:
@@ -48,73 +45,76 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         # parts of the tokenizer, not its whole file as Python objects
         pre = json.loads(self.lib.pre_tokenizer.__getstate__()) if self.lib.pre_tokenizer else {}
-        self.by_word = self.lib.normalizer is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        special = [re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special)) if special else None
-        plain = _plain_pattern(pattern)
+        self.by_word = self.lib.normalizer is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and pattern == word_ids.PATTERN
+        self.special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         self.forget()
-        self.split = (re.compile(plain) if plain else regex.compile(pattern)).findall
 
     def forget(self) -> None:
         """Words are kept for a task: a worker that goes on to another operator holds none."""
         self.known, self.older = {}, {}
         trim()
 
-    def _library(self, text: str) -> bytes:
+    def _library(self, text: str) -> np.ndarray:
         ids = self.lib.encode(text, add_special_tokens=False).ids
         if ids and max(ids) >= 1 << 16:
             raise ValueError("ids of 16 bits only")
-        return array("H", ids).tobytes()
+        return np.array(ids, np.uint16)
+
+    def _by_words(self, raw: bytes, own: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of plain texts: the bytes between the offsets, of these classes."""
+        at = word_ids.cut(raw, own, offsets)
+        size, parts, counts = np.diff(at, append=len(own)), [], [np.zeros(1, np.int64)]
+        for k in range(0, len(at), word_ids.PIECE):
+            if not self.known or len(self.known) > CACHE // 2 or self.known.used > 16 * CACHE:  # words that aren't met again go with the table before
+                self.older, self.known = self.known, word_ids.Words(self.lib.model.tokenize, CACHE // 2, self.known or None)
+                if self.older:
+                    self.older.older = None
+            ids, n = self.known.ids(self.known.look(raw, at[k : k + word_ids.PIECE], size[k : k + word_ids.PIECE]))
+            parts.append(ids)
+            counts.append(n)
+        ends = np.cumsum(np.concatenate(counts))[np.searchsorted(at, offsets)].tolist()
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
+
+    def column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a column, 16-bit integers; null is empty."""
+        texts = texts.fill_null("").cast(pa.large_binary())
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1)
+            raw = bytes(memoryview(data)[offsets[a] : offsets[b]]) if data else b""
+            yield from self._chunk(raw, offsets[a : b + 1] - offsets[a])
+            a = b
+
+    def _chunk(self, raw: bytes, offsets: np.ndarray) -> list[np.ndarray]:
+        if not self.by_word:
+            return [self._library(raw[a:b].decode()) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+        own = word_ids.classes(raw + bytes(word_ids.PAD), len(raw))
+        whole = np.zeros(len(offsets), bool)  # texts for the library
+        whole[np.searchsorted(offsets, np.flatnonzero(own == word_ids.NOT_PLAIN), "right") - 1] = True
+        whole[:-1] |= np.array([0x80 <= (raw[a] if a < len(raw) else 0) < 0xC0 for a in offsets[:-1].tolist()], bool)  # half a character
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                whole[np.searchsorted(offsets, at, "right") - 1] = True
+                at = raw.find(s, at + 1)
+        if not whole.any():
+            return self._by_words(raw + bytes(word_ids.PAD), own, offsets)
+        rows = [(raw[a:b], w) for a, b, w in zip(offsets.tolist(), offsets[1:].tolist(), whole.tolist())]
+        plain = [r for r, w in rows if not w]
+        rest = iter(self._chunk(b"".join(plain), np.cumsum([0, *map(len, plain)])))
+        return [self._library(r.decode()) if w else next(rest) for r, w in rows]
 
     def many(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as 16-bit integers; words that are new are encoded together."""
-        if len(self.known) > CACHE // 2:  # words that aren't met again go with the generation before
-            self.older, self.known = self.known, {}
-        known, older, split, out = self.known, self.older, [], []
-        for t in texts:
-            plain = t and self.by_word and not _PLAIN.search(t) and not (self.special and self.special.search(t))
-            split.append(self.split(t) if plain else None)
-        new = []
-        for w in {w for words in split if words for w in words if w not in known}:
-            if (ids := older.get(w)) is None:
-                new.append(w)
-            else:
-                known[w] = ids
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = array("H", e.ids).tobytes()
-        for t, words in zip(texts, split, strict=True):
-            out.append(b"".join([known[w] for w in words]) if words is not None else self._library(t) if t else b"")
-        return out
-
-
-def _plain_pattern(pattern: str) -> str | None:
-    """The pattern for Python's own matcher, letters and numbers spelled out for the characters of plain texts; None if it has other properties."""
-    chars = [c for c in map(chr, range(0x250))]
-    for name in "LN":
-        own = "".join(c for c in chars if unicodedata.category(c)[0] == name)
-        out, inside, i = [], False, 0
-        while i < len(pattern):
-            if pattern.startswith(rf"\p{{{name}}}", i):
-                out.append(own if inside else f"[{own}]")
-                i += 5
-                continue
-            if pattern[i] == "\\":
-                out.append(pattern[i : i + 2])
-                i += 2
-                continue
-            inside = pattern[i] == "[" or inside and pattern[i] != "]"
-            out.append(pattern[i])
-            i += 1
-        pattern = "".join(out)
-    return None if re.search(r"\\[pP]", pattern) else pattern
+        """Ids of each text as bytes of 16-bit integers."""
+        return [ids.tobytes() for ids in self.column(pa.array(texts, pa.string()))]
 
 
 @functools.lru_cache(maxsize=2)
@@ -130,7 +130,7 @@ def segments(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, par
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     ordered = docs.select("doc_id", "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
     schema = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("frames", pa.binary())])
-    end = array("H", [end_id]).tobytes()
+    end = np.array([end_id], np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -139,20 +139,20 @@ def segments(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, par
         ids, lengths, parts, total = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            frames = range_coder.encode(np.frombuffer(b"".join(parts), np.uint16))
+            whole = np.concatenate(parts)
+            parts.clear()
+            frames = range_coder.encode(whole)
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((shard, seq, total, ids, lengths, frames), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                rows = batch.slice(at, 500)
-                for doc_id, part in zip(rows.column(0).to_pylist(), encode.many(rows.column(1).to_pylist()), strict=True):
-                    ids.append(doc_id)
-                    lengths.append(len(part) // 2 + 1)
-                    parts += (part, end)
-                    total += lengths[-1]
-                    if total >= SEGMENT:
-                        yield flush()
-                        seq, ids, lengths, parts, total = seq + 1, [], [], [], 0
+            for doc_id, part in zip(batch.column(0).to_pylist(), encode.column(batch.column(1)), strict=True):
+                ids.append(doc_id)
+                lengths.append(len(part) + 1)
+                parts += (part, end)
+                total += lengths[-1]
+                if total >= SEGMENT:
+                    yield flush()
+                    seq, ids, lengths, parts, total = seq + 1, [], [], [], 0
         if ids:
             yield flush()
         parts.clear()

@@ -2,7 +2,8 @@
 
 Words are maximal runs of letters, numbers and private-use characters; marks inside a word are dropped. Case is folded by
 `lower`; a character whose decomposition is one ASCII letter and one mark becomes that letter (so й and ё stay). All
-of it stays inside whole-stage code generation or Catalyst's array functions; no Python runs on rows.
+of it stays inside whole-stage code generation or Catalyst's array functions; no Python runs on rows. The stored index alone splits whole
+texts in Arrow batches (`pieces`, `folded`), where a word is folded and stemmed once for all places it has in a batch.
 """
 
 from __future__ import annotations
@@ -75,6 +76,39 @@ def analyze_text(text: str, exact: bool) -> list[str]:
     return out if exact else [stemmer.stem(w) for w in out]
 
 
+#: Characters of which Python and every JVM say the same: case one by one, letters, numbers and marks. No dotted capital I, no final sigma.
+COMMON = r"\x00-\u012F\u0131-\u024F\u0300-\u036F\u0400-\u04FF\u2000-\u206F\u20A0-\u20BF\u2190-\u23FF\uFFFD"
+_MARKS = "\u0300-\u036f\u0483-\u0489"
+_PIECE, _STEMMED = re.compile(rf"[\w{_MARKS}]+"), re.compile(stemmer._CYRILLIC)
+_ASCII = {c: " " if not chr(c).isalnum() else chr(c).lower() for c in range(128)}
+
+
+def to_split(c: Column, exact: bool) -> list[Column]:
+    """A text for `pieces`, and whether it is split already: one with characters that are not COMMON is, by `words`."""
+    c = F.coalesce(c, F.lit(""))
+    other = (F.octet_length(c) > F.length(c)) & c.rlike(f"[^{COMMON}]")
+    return [F.when(other, F.array_join(words(c, exact), " ")).otherwise(c), other]
+
+
+def pieces(text: str, split: bool) -> list[str]:
+    """The words of such a text in order; `folded` makes terms of them, and of a mark alone nothing."""
+    if split:
+        return text.split(" ") if text else []
+    return text.translate(_ASCII).split() if text.isascii() else _PIECE.findall(text.lower().replace("_", " "))
+
+
+def folded(word: str, exact: bool) -> str:
+    if word.isascii():
+        return word
+    word = word.translate(_folds(exact))
+    return stemmer.stem(word) if not exact and _STEMMED.match(word) else word
+
+
+@functools.cache
+def _folds(exact: bool) -> dict[int, int | None]:
+    return str.maketrans(*fold_table()) | dict.fromkeys([*range(0x300, 0x370), *range(0x483, 0x48A)]) | ({ord("ё"): ord("е")} if exact else {})
+
+
 def once(df: DataFrame, cols: list[Column]) -> DataFrame:
     """The columns as outputs of a generator, which the optimizer neither repeats in later expressions nor prunes one by one."""
     return df.select(F.inline(F.array(F.struct(*cols))))

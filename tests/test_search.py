@@ -1,4 +1,5 @@
 import random
+import re
 import sqlite3
 
 import pytest
@@ -199,6 +200,45 @@ def test_index_kept_current(spark, tmp_path):
     assert index.documents().count() == 0 and index.sources().count() == 0
 
 
+def test_index_rows_and_words(spark, tmp_path, monkeypatch):
+    """Words of whole texts as the analyzers split them, in rows far fewer than words; documents that share a number get others; compaction keeps no list of what is gone."""
+    import unicodedata
+
+    from searchloom.functions import analysis
+    from searchloom.operators import index as ix
+
+    common = [c for c in map(chr, range(0x10000)) if not re.match("[^" + analysis.COMMON + "]", c)]
+    assert len(common) > 1500 and all(bool(analysis.pieces(c, False)) == (unicodedata.category(c)[0] in "LNM" or unicodedata.category(c) == "Co") for c in common)
+    odd = ["", "_a_b", "É\u0301te\u0301 \u0301 x", "Ёлки ёлками и читали", "ΣΑΣ İstanbul", "日本 語", "a\U0001f600b ½ ²", "ǅ ß ﬁ", "\u0483 x\u0483y", "tab\tnew\nline\x1cq", "\ud7ff\ue000z", *(f"a{c}B" for c in common if c > "\x7f")]
+    rng = random.Random(5)
+    lines = [" ".join(rng.choice(odd) for _ in range(8)) for _ in range(40)] + odd + [None] + [" ".join(f"w{rng.randrange(400)}" for _ in range(300)) for _ in range(60)]
+    d = spark.createDataFrame([("/a" if k % 3 else None if k % 2 else "/b", str(k), f"N_{k}.txt", t) for k, t in enumerate(lines)], "root string, path string, name string, content string").coalesce(2).cache()
+    for exact in (False, True):
+        w = [(r.path, r.n, r.c) for r in d.select("path", analysis.analyze(F.col("name"), exact).alias("n"), analysis.analyze(F.col("content"), exact).alias("c")).collect()]
+        want = {(p, i, k, t) for p, *cols in w for i, ts in enumerate(cols) for k, t in enumerate(ts)}
+        rows = ix.postings_of(d, exact).collect()
+        path = {r.doc: r.path for r in rows if r.first is None}
+        got = set()
+        for r in rows:
+            if r.first is not None:
+                each, cols, place, counts, pos = map(list, ix._unpacked(r.data))
+                for t, n, c in zip(r.terms.split(" "), each, cols, strict=True):
+                    for _ in range(n):
+                        got |= {(path[r.docs[place[0]]], c, p, t) for p in pos[: counts[0]]}
+                        pos, place, counts = pos[counts[0] :], place[1:], counts[1:]
+        assert got == want and len(path) == len(lines) and {r.path: r.length for r in rows if r.first is None} == {p: len(n) + len(c) for p, n, c in w}
+        assert len(rows) < len(path) + len(want) / 10
+    real = ix.postings_of
+    monkeypatch.setattr(ix, "postings_of", lambda docs, exact, seed=0: real(docs, exact, seed) if seed else real(docs, exact).withColumn("doc", F.when(F.col("doc").isNotNull(), F.lit(7).cast("long"))))
+    index = StoredIndex.build(d.where("root = '/a'"), str(tmp_path / "i"))
+    assert index.documents().count() == index.postings.where("first is null").select("doc").distinct().count() > 80
+    index.remove(d.where("root = '/a' and path % 2 = 0").select("root", "path"))
+    index.compact()
+    assert index.postings.where("first is not null").select(F.explode("docs")).distinct().join(index.postings.where("first is null").selectExpr("doc as col"), "col", "left_anti").count() == 0
+    assert sorted(r.path for r in index.occurrences(Phrase(("w1",), True)).collect()) == sorted(p for p, n, c in w if int(p) % 2 and int(p) % 3 and any(t.startswith("w1") for t in n + c))
+    assert index.occurrences(Phrase(())).count() == 0
+
+
 def test_bucket_of_a_word(spark):
     from searchloom.operators import index as ix
 

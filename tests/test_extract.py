@@ -2,7 +2,7 @@ import zipfile
 import zlib
 
 from searchloom.operators.maintain import PROBLEMS
-from searchloom.sources import crypto, filetree, office, pdf
+from searchloom.sources import crypto, filetree, office, pdf, samples
 from searchloom.sources.extract import extract, extract_files
 from searchloom.sources.samples import archive, document, encrypted
 
@@ -87,3 +87,26 @@ def test_files_to_text(spark, tmp_path):
 def test_unescape_and_cmap_edges():
     assert office.unescape("&lt;&gt;&quot;&apos;&#65;&#x1F600;&#xD800;&#99999999;&") == "<>\"'A\U0001f600&#xD800;&#99999999;&"
     assert pdf.inflate(b"\xff\xff\xff\xff") is None and pdf.inflate(zlib.compress(b"x" * 500)[2:-4]) == b"x" * 500
+
+
+def test_long_pdf_strings_in_linear_steps():
+    """A shown text is read by stretches between its brackets and escapes, not by bytes."""
+    import sys
+
+    text, lines = "plain words (in brackets) and a\\slash " * 20_000, 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    data = samples.pdf(text)
+    sys.settrace(count)
+    try:
+        got = pdf.extract(data)[0]
+    finally:
+        sys.settrace(None)
+    assert got == text.strip("\n") and lines < len(text)
+    for raw in (b"a(b(c)d)e) x", b"a\\101\\n\\\r\nb) x", b"open \\", b"", b"x\\"):
+        own, end = pdf._string(b"(" + raw, 0)
+        assert own == {b"a(b(c)d)e) x": b"a(b(c)d)e", b"a\\101\\n\\\r\nb) x": b"aA\nb", b"open \\": b"open \\", b"": b"", b"x\\": b"x\\"}[raw] and end == (len(raw) - 1 if raw.endswith(b" x") else len(raw) + 1)

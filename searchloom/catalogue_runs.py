@@ -131,7 +131,7 @@ def _documents(spark, sf) -> DataFrame:
 
 def _texts(rows: DataFrame) -> DataFrame:
     """Long texts as digests."""
-    return extract.extract_files(rows).select("path", F.length("content").cast("long").alias("chars"), F.md5("content").alias("digest"), "problem")
+    return extract.extract_rows(rows).select("path", F.length("content").cast("long").alias("chars"), F.md5("content").alias("digest"), "problem")
 
 
 def _texts_sql(text: str, base: str, empty: int = 0) -> str:

@@ -16,6 +16,8 @@ from searchloom.operators.maintain import PROBLEMS
 from . import office, pdf
 
 MAX_BYTES, MAX_UNPACKED = 100 * 1024 * 1024, 512 * 1024 * 1024
+#: Characters of extracted text that a task holds before it hands them on.
+TEXTS = 1_000_000
 _OLE = bytes.fromhex("D0CF11E0A1B11AE1")
 
 
@@ -58,11 +60,23 @@ def extract_files(files: DataFrame, max_bytes: int = MAX_BYTES, max_unpacked: in
     large = F.coalesce(limited & (F.col("size") > max_bytes), F.lit(False))
     told = files.where(large).select(*kept, F.lit("").alias("content"), F.lit(PROBLEMS["TooLarge"]).alias("problem"), F.col("size").cast("string").alias("detail"))
 
+    return extract_rows(files.where(~large), max_bytes, max_unpacked).unionByName(told)
+
+
+def extract_rows(files: DataFrame, max_bytes: int = MAX_BYTES, max_unpacked: int = MAX_UNPACKED) -> DataFrame:
+    """The same for files whose content is at hand: one pass, which makes each of them once."""
+    kept = ["root", "path", "name", "ext", "size", "modified_time"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(len(batch)):  # one file at a time is in memory as text
-                b = batch.slice(k, 1)
-                text, problem, detail = extract(b.column(6)[0].as_py(), b.column(3)[0].as_py() or "", max_bytes, max_unpacked)
-                yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array([text]), pa.array([problem], pa.int32()), pa.array([detail])], names=[*kept, "content", "problem", "detail"])
+            start, held, out = 0, 0, []
+            for k in range(len(batch)):  # one file at a time is in memory, and TEXTS of their texts at most besides the last one
+                out.append(extract(batch.column(6)[k].as_py(), batch.column(3)[k].as_py() or "", max_bytes, max_unpacked))
+                held += len(out[-1][0])
+                if held >= TEXTS or k + 1 == len(batch):
+                    text, problem, detail = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, k + 1 - start).columns[:6], pa.array(text), pa.array(problem, pa.int32()), pa.array(detail)], names=[*kept, "content", "problem", "detail"])
+                    start, held, out, text = k + 1, 0, [], None
+                    pa.default_memory_pool().release_unused()
 
-    return files.where(~large).select(*kept, "content").mapInArrow(run, "root string, path string, name string, ext string, size long, modified_time long, content string, problem int, detail string").unionByName(told)
+    return files.select(*kept, "content").mapInArrow(run, "root string, path string, name string, ext string, size long, modified_time long, content string, problem int, detail string")

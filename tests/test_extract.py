@@ -110,3 +110,17 @@ def test_long_pdf_strings_in_linear_steps():
     for raw in (b"a(b(c)d)e) x", b"a\\101\\n\\\r\nb) x", b"open \\", b"", b"x\\"):
         own, end = pdf._string(b"(" + raw, 0)
         assert own == {b"a(b(c)d)e) x": b"a(b(c)d)e", b"a\\101\\n\\\r\nb) x": b"aA\nb", b"open \\": b"open \\", b"": b"", b"x\\": b"x\\"}[raw] and end == (len(raw) - 1 if raw.endswith(b" x") else len(raw) + 1)
+
+
+def test_files_of_a_query_are_made_once(spark):
+    from searchloom import catalogue_runs as R
+
+    made = spark.sparkContext.accumulator(0)
+
+    def make(text, number, note):
+        made.add(1)
+        return samples.pdf(text)
+
+    rows = spark.createDataFrame([(str(k), f"text {k}", k, "") for k in range(150)], "key string, text string, number long, note string")
+    assert sorted((r.path, r.chars) for r in R._texts(R._made(rows, make, ".pdf")).collect()) == sorted((str(k), len(f"text {k}")) for k in range(150))
+    assert made.value == 150
